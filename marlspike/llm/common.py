@@ -143,3 +143,15 @@ def pack_sorted(a: np.ndarray) -> bytes:
 
 def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, U64), dtype=U64)
+
+
+def sliced(batches, column: str, limit: int = 2_000_000):
+    """The record batches cut so that each part has about limit bytes of the text column at most (one row at least)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.diff(text_bytes(batch.column(batch.schema.get_field_index(column)))[1])
+        part = np.cumsum(sizes) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
