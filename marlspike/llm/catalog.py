@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interpolation, quality
+from . import interpolation, lines, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_deleted_interpolation": interpolation.op2_deleted_interpolation,
+        "op6_line_dedup": lines.op6_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.SQL,
+        "op6_line_dedup": lines.SQL,
     }
