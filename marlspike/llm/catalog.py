@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interpolation, lines, quality
+from . import bpe, interpolation, lines, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_deleted_interpolation": interpolation.op2_deleted_interpolation,
+        "op5_bpe": bpe.op5_bpe,
         "op6_line_dedup": lines.op6_line_dedup,
     }
 
