@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, interpolation, lines, quality
+from . import bpe, interpolation, lines, neardup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_deleted_interpolation": interpolation.op2_deleted_interpolation,
         "op5_bpe": bpe.op5_bpe,
         "op6_line_dedup": lines.op6_line_dedup,
+        "op9_order_minhash": neardup.op9_order_minhash,
     }
 
 
