@@ -254,7 +254,7 @@ def csv_mixed_terminators(spark, sf_dir):
 
 def csv_bom_header(spark, sf_dir):
     df = read(spark, sf_dir, "region").selectExpr("CAST(r_regionkey + 1 AS BIGINT) AS row", "r_name || ',' || CAST(r_regionkey AS STRING) AS line")
-    return Validator(schema_of([{"name": "k", "type": "int"}, {"name": "n", "type": "string"}])).file(spark, lines_file(spark, df, "﻿ n , k ")).normalized()
+    return Validator(schema_of([{"name": "k", "type": "int"}, {"name": "n", "type": "string"}])).file(spark, lines_file(spark, df, "\ufeff n , k ")).normalized()
 
 
 QUERIES["csv_mixed_terminators"], QUERIES["csv_bom_header"] = csv_mixed_terminators, csv_bom_header
