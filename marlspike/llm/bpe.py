@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import row_of, table, worker_cache
 
 #: Distinct chunks of text whose encodings a worker keeps; when full it starts anew.
 KEPT = 300_000
@@ -230,7 +230,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
     in the file's own library; decoding gives the names of the tokens joined by blanks.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("_row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(row_of(docs, text), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(encoding(spec), rows.select("_row").schema.add("ids", "binary").add("decoded", "string"))
 
 

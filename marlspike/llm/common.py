@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import shared_dir
 
 U64 = np.uint64
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -20,12 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one of our own where unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='marlspike-')}")
-    return sc.getCheckpointDir()
+def row_of(docs: DataFrame, *without: str) -> Column:
+    """The columns of a row as one struct _row, so that none clashes with what an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("_row")
 
 
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:

@@ -10,7 +10,6 @@ each partition. The result is a compressed bitmap of kept lines for each documen
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import row_of, shared_dir, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = b" \t\n\x0b\x0c\r"
@@ -183,7 +182,7 @@ def kept_lines(batches):
 def applied(docs: DataFrame, keep: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs as a struct _row, with _kept_text, _n_lines (before) and _n_dropped."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    left = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("_row"), key.alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("_text"))
+    left = docs.select(row_of(docs, text), key.alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("_text"))
     both = left.join(keep, ["doc", "text_key"], "left").select("_row", "_text", "keep")
     return both.mapInArrow(kept_lines, both.select("_row").schema.add("_kept_text", "string").add("_n_lines", "long").add("_n_dropped", "long"))
 

@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import row_of, table, written
 
 #: Documents of a block, slots of a period, documents for each bucket of the order within a source.
 BLOCK, PERIOD, BUCKET = 16, 5040, 4096
@@ -99,6 +99,7 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix over the parts of the table."""
-    rows = scheduled(docs.select("doc_id", "source")).dropDuplicates(["doc_id"]).select("doc_id", "_slot", "_place")
-    both = docs.join(rows.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return both.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select(docs.columns)
+    at = scheduled(docs.select("doc_id", "source")).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_key"), "_slot", "_place")
+    rows = docs.select(row_of(docs), F.col("doc_id").alias("_id"))
+    both = rows.join(at, F.col("_id").eqNullSafe(F.col("_key")), "left")
+    return both.repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place").select("_row.*")

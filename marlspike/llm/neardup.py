@@ -14,10 +14,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, lut, mix64, pack, random_u64, run_hashes, runs, sliced, table, text_bytes, unpack, word_values, written
+from .common import U64, lut, mix64, pack, random_u64, row_of, run_hashes, runs, sliced, table, text_bytes, unpack, word_values, written
 
 WORDS, TABLES, WIDTH = 5, 40, 2
 #: Buckets of this many texts or fewer are paired in full.
@@ -220,9 +220,7 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that with the smallest id; of rows that repeat an id, one. Rows with a null id stay."""
-    found = classes(docs).where("doc != class").select(F.col("doc").alias("doc_id"))
-    rest = docs.join(found, "doc_id", "left_anti").select(docs.columns)
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.withColumn("_nth", nth).where("_nth = 1 OR doc_id IS NULL").select(docs.columns)
+    gone = classes(docs).where("doc != class").select(F.col("doc").alias("_id"))
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"))
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_key"))
+    return rows.join(gone, "_id", "left_anti").withColumn("_nth", nth).where("_nth = 1 OR _id IS NULL").select("_row.*")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_of, table
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -109,7 +109,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that policy v1 keeps, unchanged."""
-    return ledger(docs.select(F.struct(*docs.columns).alias("_row"), "text")).where(verdict("v1")).select("_row.*")
+    return ledger(docs.select(row_of(docs), "text")).where(verdict("v1")).select("_row.*")
 
 
 SQL = r"""

@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lut, run_hashes, runs, sliced, table, text_bytes, word_values
+from .common import U64, lut, pack, row_of, run_hashes, runs, sliced, table, text_bytes, unpack, word_values
 
 #: Labelled documents of each label that the fit may use, and features it may take of one document.
-SAMPLE, SAMPLE_FEATURES = 4000, 6000
+SAMPLE, SAMPLE_FEATURES = 2000, 6000
 BITS = 20
 #: Words count whole and by their first bytes, so that forms of one stem share what is learnt.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -63,10 +63,10 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300,
     least, price = max(0.004, 1.5 / n_toxic), 5e-5
     counts = np.array([int(d[2].max()) + 1 if len(d[2]) else 0 for d in documents])
     base, n_sentences = np.cumsum(counts) - counts, int(counts.sum())
-    feature = np.concatenate([d[1] for d in documents]).astype(np.int64)
-    sentence = np.concatenate([d[2] + b for d, b in zip(documents, base)]).astype(np.int64)
+    feature = np.concatenate([d[1] for d in documents]).astype(np.int32)
+    sentence = np.concatenate([d[2] + np.int32(b) for d, b in zip(documents, base)]).astype(np.int32)
     owner = np.repeat(np.arange(n), counts)
-    seen = np.unique(owner[sentence] * (1 << BITS) + feature)
+    seen = np.unique(owner[sentence].astype(np.int64) * (1 << BITS) + feature)
     seen = seen[label[seen >> BITS] == 1]
     share = np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS) / n_toxic
     worth = share[feature] > least
@@ -89,11 +89,11 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300,
     return out
 
 
-FEATURES = "label int, feature array<int>, sentence array<int>"
+FEATURES = "label int, feature binary, sentence binary"
 
 
 def features(batches):
-    """(label, feature, sentence) of each row (text, label); at most SAMPLE_FEATURES features, of whole sentences spread evenly over the text."""
+    """(label, feature, sentence), packed, of each row (text, label); at most SAMPLE_FEATURES features, of whole sentences spread evenly over the text."""
     for batch in sliced(batches, "text"):
         feature, sentence, s_row, _ = sentences_of(batch.column(0))
         row = s_row[sentence] if len(sentence) else sentence
@@ -104,9 +104,9 @@ def features(batches):
             if len(f) > SAMPLE_FEATURES:
                 keep = s % -(-len(f) // SAMPLE_FEATURES) == 0
                 f, s = f[keep], s[keep]
-            out[0].append(f.tolist())
-            out[1].append(np.unique(s, return_inverse=True)[1].tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x, pa.list_(pa.int32())) for x in out)], names=["label", "feature", "sentence"])
+            out[0].append(pack(f.astype(np.int32)))
+            out[1].append(pack(np.unique(s, return_inverse=True)[1].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x, pa.binary()) for x in out)], names=["label", "feature", "sentence"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text") -> np.ndarray:
@@ -119,8 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text")
         chosen = part if chosen is None else chosen.union(part)
     # SAMPLE rows of 12 bytes for each label: a proven bound
     got = rows.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(features, FEATURES).toArrow()
-    parts = [(r["label"], np.array(r["feature"], np.int64), np.array(r["sentence"], np.int64)) for r in sorted(got.to_pylist(), key=lambda r: (r["label"], r["feature"]))]
-    return fit(parts)
+    rows = sorted(got.to_pylist(), key=lambda r: (r["label"], r["feature"], r["sentence"]))
+    return fit([(r["label"], unpack(r["feature"], np.int32), unpack(r["sentence"], np.int32)) for r in rows])
 
 
 def scoring(weights):
@@ -140,7 +140,7 @@ def scoring(weights):
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """docs without the text, as a struct _row, and score. A null or empty text has no sentence and scores 0."""
     w = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(row_of(docs, text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(scoring(w), rows.select("_row").schema.add("score", "double"))
 
 

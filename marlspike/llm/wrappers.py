@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import row_of, table, written
 
 #: Elements that hold no text of their own block; all unknown elements are blocks' insides too.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -348,7 +348,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     what stands around it. A null or empty page has an empty text; pages of no host are one host's.
     """
     known = written(wrappers(pages, url, html), "wrappers")
-    rows = pages.select(F.struct(*[c for c in pages.columns if c != html]).alias("_row"), F.col(html).cast("string").alias("_html"), host_of(url).alias("host"))
+    rows = pages.select(row_of(pages, html), F.col(html).cast("string").alias("_html"), host_of(url).alias("host"))
     both = rows.join(known, "host", "left").select("_row", "_html", "wrapper")
     return both.mapInArrow(extracting, both.select("_row").schema.add("text", "string"))
 
