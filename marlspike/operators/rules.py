@@ -86,10 +86,13 @@ def findings(schema: SchemaSpec, binding: Binding, cell, width: Column | None =
     return broken if beyond is None else F.concat(broken, beyond)
 
 
-def header_errors(df: DataFrame, binding: Binding) -> DataFrame:
-    """The header's faults as (row 0, seq, colIndex, colKind, code)."""
+def header_errors(df: DataFrame, binding: Binding, files: list[str] | None = None) -> DataFrame:
+    """The header's faults as (row 0, seq, colIndex, colKind, code), for each of files if given."""
     rows = [(0, i, c, "schema", code) for i, (code, c) in enumerate(binding.faults)]
-    return df.sparkSession.createDataFrame(rows, "row long, seq int, colIndex int, colKind string, code int")
+    schema = "row long, seq int, colIndex int, colKind string, code int"
+    if files is None:
+        return df.sparkSession.createDataFrame(rows, schema)
+    return df.sparkSession.createDataFrame([(f, *r) for f in files for r in rows], f"file string, {schema}")
 
 
 def decoded(errors: DataFrame, schema: SchemaSpec, binding: Binding) -> DataFrame:

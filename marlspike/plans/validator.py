@@ -80,10 +80,10 @@ class Result:
         delimited.write_lines(self.lines().orderBy("row"), path, one_file)
 
     def progress(self) -> DataFrame:
-        """One row: rowsProcessed, errorsAdded (all errors, capped or not), done."""
-        rows = self.records.select(F.count("*").alias("rowsProcessed"))
-        errors = self._raw_errors().select(F.count("*").alias("errorsAdded"))
-        return rows.join(errors).withColumn("done", F.lit(True))
+        """One row: rowsProcessed, errorsAdded (all errors, capped or not), done; from one scan."""
+        found = rules.findings(self.schema, self.binding, self._cell, F.col("width") if self.ragged else None)
+        errors = F.coalesce(F.sum(F.size("found").cast("long")), F.lit(0)) + len(self.binding.faults)
+        return self.records.select(found.alias("found")).agg(F.count("*").alias("rowsProcessed"), errors.alias("errorsAdded")).withColumn("done", F.lit(True))
 
 
 class Validator:
@@ -157,8 +157,7 @@ class FileResults:
             found = rules.findings(r.schema, binding, r._cell, F.col("width"))
             raw = r.records.select("file", "row", found.alias("found")).select("file", "row", F.inline("found"))
             if binding.faults:
-                names = self.spark.createDataFrame([(f,) for f in group], "file string")
-                raw = raw.unionByName(names.join(rules.header_errors(raw, binding)))
+                raw = raw.unionByName(rules.header_errors(raw, binding, group))
             part = rules.decoded(raw, r.schema, binding)
             out = part if out is None else out.unionByName(part)
         return out
