@@ -113,8 +113,17 @@ def read_splittable(spark: SparkSession, path: str, delimiter: bytes = b",", has
     sep = delimiter.decode("latin-1")
     if not sep.isascii():
         raise ValueError("a delimiter beyond ASCII needs the exact source")
-    lines = spark.read.text(path).where(F.col("value") != "")
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1] + (0 if has_header else 1), x[0][0])).toDF("row long, value string")
+    lines = spark.read.text(path).where(F.col("value") != "").withColumn("_at", F.monotonically_increasing_id())
+    # an id is the partition, then the place in it; one number for each partition goes to the driver
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = dict(lines.groupBy(part.alias("part")).count().collect())
+    before, n = [], 0 if has_header else 1
+    for i in range(max(sizes, default=0) + 1):
+        before.append(n)
+        n += sizes.get(i, 0)
+    starts = F.lit(before).cast("array<long>")
+    row = F.element_at(starts, part + 1) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = lines.select(row.alias("row"), "value")
     odd = F.col("value").contains('"') | ~F.is_valid_utf8("value")
     value = F.when(odd, F.raise_error(F.lit("the file has quotes or bytes that are not UTF-8: read it with the exact source"))).otherwise(F.col("value"))
     literal = {" ": " ", "\t": "\\t"}.get(sep, "\\" + sep if not sep.isalnum() else sep)

@@ -79,9 +79,14 @@ def test_client_events(spark, tmp_path):
 def test_splittable_equals_exact(spark, tmp_path):
     data = b"id,v\n" + b"".join(b"%d,w%d\r\n" % (i, i) for i in range(500)) + b"\n\nx,y,z"
     path = put(tmp_path, data)
-    a, b = (Validator(TWICE).file(spark, path, splittable=s) for s in (False, True))
-    assert a.lines().orderBy("row").collect() == b.lines().orderBy("row").collect()
-    assert a.errors().collect() == b.errors().collect()
+    for size in ("128m", "700b"):  # one split, and many
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        a, b = (Validator(TWICE).file(spark, path, splittable=s) for s in (False, True))
+        assert a.lines().orderBy("row").collect() == b.lines().orderBy("row").collect()
+        assert a.errors().collect() == b.errors().collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
     with pytest.raises(Exception, match="exact source"):
         Validator(TWICE).file(spark, put(tmp_path, F1), splittable=True).lines().collect()
 
