@@ -31,7 +31,7 @@ AROUND_TAGS = frozenset("head nav footer aside form button dialog menu fieldset"
 AROUND_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay "
     "newsletter subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav widget widgets footer masthead topbar toolbar share sharing "
-    "social related recommended recommendations comment comments commentlist respond disqus replies login signin signup register search pagination pager contentinfo complementary".split()
+    "social related recommended recommendations comment comments commentlist respond disqus replies login signin signup register search pagination pager contentinfo complementary aside copyright disclaimer toast dialog form survey paywall".split()
 )
 ARTICLE_NAMES = frozenset("article articlebody post postbody entry story".split())
 MAIN_NAMES = frozenset("main content maincontent".split())
@@ -39,16 +39,16 @@ DEPTH, WIDE = 60, 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD = re.compile(r"[a-z]+")
+HUMP, DIGITS, WORD = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"\d+"), re.compile(r"[a-z]+")
 BLANK = re.compile(r"[^\s]")
 
 
 def label(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id and role, digits left out."""
+    """The tag with its class, id and role names in lower case, words in one name set apart by hyphens, digits left out."""
     if not attributes or "=" not in attributes:
         return tag
-    words = {x for m in NAMES.finditer(attributes) for x in WORD.findall((m[2] or m[3] or m[4] or "").lower())}
-    return " ".join([tag, *sorted(words)])
+    names = {x for m in NAMES.finditer(attributes) for x in DIGITS.sub("", HUMP.sub("-", m[2] or m[3] or m[4] or "").lower()).split()}
+    return " ".join([tag, *sorted(names)])
 
 
 def events(page: str):
@@ -275,18 +275,29 @@ class Roles:
 
     def __init__(self, node: list | None, parent: "Roles | None" = None):
         name = node[0] if node else ""
-        tag, *words = name.split(" ")
+        tag, *names = name.split(" ")
         level = parent.level if parent else 0
         around = parent is not None and parent.around
         if not around and parent is not None:
-            named = AROUND_NAMES.intersection(words)
-            around = tag in AROUND_TAGS or (bool(named) and tag not in ("body", "html", "main")) or (tag == "header" and level < 3)
+            inner = tag not in ("html", "body", "main")
+            named, article, main = False, False, False
+            for x in names:
+                words = set(WORD.findall(x))
+                if words & {"with", "has", "no", "without"}:  # says what stands elsewhere
+                    continue
+                if words & AROUND_NAMES or ("header" in words and level < 3):
+                    named = True
+                elif words & ARTICLE_NAMES:
+                    article = True
+                elif words & MAIN_NAMES:
+                    main = True
+            around = tag in AROUND_TAGS or (named and inner and not article and not main) or (tag == "header" and level < 3)
             if node and level == 0 and tag in ("ul", "ol") and not node[2]:  # only links, on all pages of the host
                 around = True
-            if tag == "article" or (level < 3 and tag in ("div", "section") and ARTICLE_NAMES.intersection(words)):
+            if tag == "article" or (article and tag in ("div", "section")):
                 level = 3
-            elif tag == "main" or (tag in ("div", "section", "td") and MAIN_NAMES.intersection(words)):
-                level = max(level, 2 if tag == "main" or "main" in words else 1)
+            elif tag == "main" or (main and tag in ("div", "section", "td")):
+                level = max(level, 2 if tag == "main" or "main" in names else 1)
         self.around, self.level = around, level
         self.children: dict[str, Roles] = {}
         for x in node[3] if node else ():

@@ -78,6 +78,7 @@ CASES = {
     "<p>plain</p><script>var a='<p>no</p>'</script><!-- <p>no</p> -->tail": "plain\n\ntail",
     "just text": "just text", "": "", "<": "<", "<p>a < b & c</p>": "a < b & c", "<article><p>x&nbsp;&nbsp; y\n\tz</p></article>": "x y z",
     "<article>" + "<div>" * 300 + "deep" + "</div>" * 300 + "</article>": "deep", "<table><tr><td>a<td>b<tr><td>c</table>": "a\n\nb\n\nc",
+    "<div class='siteHeader'>h</div><div id='content' class='with-sidebar'><p>in</p><p class='newsletter-box'>n</p></div><div class='post-footer'>f</div>": "in",
     "<article class='comment'><p>c</p></article><article><p>a</p></article>": "a",
 }
 
