@@ -165,18 +165,34 @@ def aligned(batches):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, class): the smallest id of each linked id's connected component, by hooking to the smallest label around and pointer jumping."""
-    both = written(links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.col("doc")).alias("class")), "labels")
+    """(doc, class): the smallest id of each linked id's connected component.
+
+    In each round every id hooks to the smallest id around it, pointer jumping over the ids finds the
+    roots, and links are drawn anew between roots; links within a tree go, so after the first round few are left.
+    """
+
+    def between(rows: DataFrame) -> DataFrame:
+        return rows.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    found, edges = None, written(between(links), "links")
     while True:
-        around = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("class").alias("least"))
-        hooked = labels.join(around, "doc").select("doc", F.least("class", "least").alias("to"), F.col("class").alias("was"))
-        hooked = written(hooked, "hooked")
-        new = hooked.join(hooked.select(F.col("doc").alias("to"), F.col("to").alias("next")), "to", "left").select("doc", F.least("to", F.coalesce("next", "to")).alias("class"), "was")
-        new = written(new, "labels")
-        if new.where("class != was").isEmpty():
-            return new.select("doc", "class")
-        labels = new.select("doc", "class")
+        around = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("least"))
+        roots = written(around.select("doc", F.least("doc", "least").alias("root")), "hooked")
+        while True:
+            above = roots.select(F.col("doc").alias("root"), F.col("root").alias("next"))
+            jumped = written(roots.join(above, "root").select("doc", F.col("next").alias("root"), F.col("root").alias("was")), "roots")
+            roots = jumped.select("doc", "root")
+            if jumped.where("root != was").isEmpty():
+                break
+        if found is None:
+            found = roots.select("doc", F.col("root").alias("class"))
+        else:
+            found = found.join(roots.select(F.col("doc").alias("class"), "root"), "class", "left").select("doc", F.coalesce("root", "class").alias("class"))
+        drawn = edges.join(roots.withColumnRenamed("doc", "a"), "a").select("b", F.col("root").alias("x"))
+        drawn = drawn.join(roots.withColumnRenamed("doc", "b"), "b").select(F.col("x").alias("a"), F.col("root").alias("b"))
+        edges = written(between(drawn), "links")
+        if edges.isEmpty():
+            return written(found, "classes")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -185,6 +185,15 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path):
     assert neardup.op9_order_minhash(spark, h.empty(spark, tmp_path / "none")).count() == 0
 
 
+def test_components_of_paths_stars_and_islands(spark):
+    r = random.Random(9)
+    ids = list(range(40))
+    r.shuffle(ids)
+    pairs = [(i, i + 1) for i in range(100, 140)] + list(zip(ids, ids[1:])) + [(500, 500 + i) for i in range(1, 20)] + [(7, 7), (900, 901), (901, 900)]
+    got = {x[0]: x[1] for x in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 141)} | {i: 0 for i in range(40)} | {i: 500 for i in range(500, 520)} | {900: 900, 901: 900}
+
+
 def test_near_duplicates_awkward_rows(spark, sf):
     got = [tuple(r) for r in neardup.op9_order_minhash(spark, sf).collect()]
     assert len(got) == len(h.rows()) and (4, 3) in got and (5, 3) in got and (52, 51) in got and (2, 1) in got and got.count((6, 6)) == 2 and got.count((None, None)) == 2
