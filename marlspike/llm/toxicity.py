@@ -61,17 +61,17 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300,
     if not n_toxic:
         return out
     least, price = max(0.004, 1.5 / n_toxic), 5e-5
+    share = np.zeros(1 << BITS)
+    for toxic, f, _ in documents:
+        if toxic == 1:
+            share[np.unique(f)] += 1 / n_toxic
+    worth = share > least
     counts = np.array([int(d[2].max()) + 1 if len(d[2]) else 0 for d in documents])
     base, n_sentences = np.cumsum(counts) - counts, int(counts.sum())
-    feature = np.concatenate([d[1] for d in documents]).astype(np.int32)
-    sentence = np.concatenate([d[2] + np.int32(b) for d, b in zip(documents, base)]).astype(np.int32)
+    feature = np.concatenate([d[1][worth[d[1]]] for d in documents])
+    sentence = np.concatenate([d[2][worth[d[1]]] + np.int32(b) for d, b in zip(documents, base)])
     owner = np.repeat(np.arange(n), counts)
-    seen = np.unique(owner[sentence].astype(np.int64) * (1 << BITS) + feature)
-    seen = seen[label[seen >> BITS] == 1]
-    share = np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS) / n_toxic
-    worth = share[feature] > least
-    sentence = sentence[worth]
-    used, at = np.unique(feature[worth], return_inverse=True)
+    used, at = np.unique(feature, return_inverse=True)
     w = np.zeros(len(used) + 1)  # and the bias
     w[-1] = -6.0
     mean, square = np.zeros(len(w)), np.zeros(len(w))
