@@ -4,7 +4,9 @@ Byte-pair encoding has a prefix property: whether a token can stand last in the
 depends only on it and the last token before it (a pair is valid when encoding the two strings joined
 gives back the two tokens), and exactly one token can. So each word is read as a path in a trie of
 symbols; a depth-first walk gives each node the last token of its prefix, taken from the nodes above,
-and words that share a prefix share that work. A word's tokens are read back from its leaf.
+and words that share a prefix share that work. A word's tokens are read back from its leaf. The trie
+is the sorted list of distinct words; an automaton over the vocabulary names the tokens that could end
+at a node.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_of, table, worker_cache
+from .common import row_of, sliced, table, worker_cache
 
 #: Distinct chunks of text whose encodings a worker keeps; when full it starts anew.
-KEPT = 300_000
+KEPT = 400_000
 
 
 class TrieBpe:
@@ -45,9 +47,7 @@ class TrieBpe:
             x, y = model["vocab"][a], model["vocab"][b]
             self.merged[x, y] = i
             self.parts[t], self.rank[t] = (x, y), i
-        self.longest = max(len(k) for k in self.vocab)
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.space = regex.compile(r"\s+")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.names |= {v: k for k, v in self.special.items()}
         self.is_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -57,6 +57,9 @@ class TrieBpe:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
         self.of_byte = [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
+        self.raw = {t: t.to_bytes(4, "little") for t in self.names}
+        self.moves: dict[tuple[int, str], int] = {}
+        self._automaton()
 
     def valid(self, a: int, b: int) -> bool:
         """Whether the strings of a and b, joined and encoded, give (a, b): no merge across the border comes before those that made a and b."""
@@ -106,76 +109,115 @@ class TrieBpe:
         finally:
             self.merged[a, b] = kept
 
+    def _automaton(self) -> None:
+        """An automaton over the symbols of tokens: candidates[state] are (token, symbols) of all tokens that end there, longest first."""
+        goto: list[dict] = [{}]
+        own: list[int | None] = [None]
+        for text, t in self.vocab.items():
+            at = 0
+            for s in self.symbols(text):
+                nxt = goto[at].get(s)
+                if nxt is None:
+                    nxt = goto[at][s] = len(goto)
+                    goto.append({})
+                    own.append(None)
+                at = nxt
+            if self.makes_itself(t):
+                own[at] = t
+        fail, depth, self.candidates = [0] * len(goto), [0] * len(goto), [()] * len(goto)
+        queue = [0]
+        for at in queue:
+            for s, nxt in goto[at].items():
+                f = fail[at]
+                while f and s not in goto[f]:
+                    f = fail[f]
+                fail[nxt] = goto[f][s] if at else 0
+                depth[nxt] = depth[at] + 1
+                self.candidates[nxt] = (((own[nxt], depth[nxt]),) if own[nxt] is not None else ()) + self.candidates[fail[nxt]]
+                queue.append(nxt)
+        self.goto, self.fail = goto, fail
+
+    def symbols(self, word: str) -> list[str]:
+        """Symbols of a token or word: the mark of a word's end is part of the one before it."""
+        return [*word[:-2], word[-2:]] if word[-1] == "\0" else list(word)
+
+    def step(self, state: int, s: str) -> int:
+        """The automaton's state after one more symbol."""
+        key, goto, fail = (state, s), self.goto, self.fail
+        nxt = self.moves.get(key)
+        if nxt is None:
+            while state and s not in goto[state]:
+                state = fail[state]
+            nxt = self.moves[key] = goto[state].get(s, 0)
+        return nxt
+
     def encode_words(self, words) -> dict[str, tuple[int, ...]]:
-        """Tokens of each distinct word (byte-level symbols) by one walk over the trie of all."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for s in w[:-1]:
-                node = node.setdefault(s, {})
-            # the last symbol carries the word's end and so is a symbol of its own
-            node.setdefault("\0", {})[w[-1]] = w
+        """Tokens of each distinct word (byte-level symbols). Sorted, the words are a trie's leaves in depth-first order, and
+        what a word shares with the one before it is the path that the walk stays on: only what branches off is computed."""
         out: dict[str, tuple[int, ...]] = {}
-        vocab, longest, valid = self.vocab, self.longest, self.valid
-        path: list[str] = []
-        last: list[int] = []  # last token of each prefix on the path, and its length in symbols
-        width: list[int] = []
-
-        def state(text: str, n: int, extra: int) -> tuple[int, int]:
-            """The last token of the path with one more symbol; text ends with it and n symbols are in it."""
-            for k in range(min(n, longest), 0, -1):
-                t = vocab.get(text[len(text) - k - extra :])
-                if t is not None and (k == n or valid(last[n - k - 1], t)) and self.makes_itself(t):
-                    return t, k
-            raise ValueError("a symbol has no token")
-
-        todo = [(root, None)]
-        while todo:
-            node, s = todo.pop()
-            if s == 0:  # leave the node
-                path.pop(), last.pop(), width.pop()
-                continue
-            if s is not None:
-                path.append(s)
-                t, k = state("".join(path), len(path), 0)
-                last.append(t), width.append(k)
-                todo.append((None, 0))
-            ends = node.get("\0")
-            if ends:
-                prefix = "".join(path)
-                for e, w in ends.items():
-                    n = len(path) + 1
-                    t, k = state(prefix + e + "\0" * bool(self.suffix), n, bool(self.suffix))
-                    ids, n = [t], n - k
-                    while n:
-                        ids.append(last[n - 1])
-                        n -= width[n - 1]
-                    out[w] = tuple(reversed(ids))
-            todo += [(child, c) for c, child in node.items() if c != "\0"]
+        candidates, moves, step, pair_ok, valid = self.candidates, self.moves, self.step, self.pair_ok, self.valid
+        end = "\0" if self.suffix else ""
+        n_most = max(map(len, words), default=0) + 1
+        #: of each node on the path: the automaton's state, the last token of its prefix, and where that token starts
+        state, last, start = [0] * (n_most + 1), [-1] * (n_most + 1), [0] * (n_most + 1)
+        before = ""
+        for w in sorted(words):
+            n = len(w)
+            d, most = 0, min(n, len(before)) - 1
+            while d < most and w[d] == before[d]:
+                d += 1
+            before = w
+            while d < n:
+                s = w[d] if d < n - 1 else w[d] + end
+                q = moves.get((state[d], s))
+                if q is None:
+                    q = step(state[d], s)
+                d += 1
+                for t, k in candidates[q]:
+                    if k == d:
+                        break
+                    key = (last[d - k], t)
+                    ok = pair_ok.get(key)
+                    if ok or (ok is None and valid(*key)):
+                        break
+                else:
+                    raise ValueError("a symbol has no token")
+                state[d], last[d], start[d] = q, t, d - k
+            ids = []
+            while d:
+                ids.append(last[d])
+                d = start[d]
+            ids.reverse()
+            out[w] = tuple(ids)
         return out
 
-    def encode_chunks(self, chunks) -> dict[str, tuple[bytes, str]]:
-        """For texts that hold no blank: their ids as little-endian bytes, and the names of the tokens joined by blanks."""
+    def pieces(self, chunk: str) -> list:
+        """Words, as byte-level symbols, and ids of special tokens of a text that holds no blank."""
         import unicodedata
 
-        of_byte, pieces, words = self.of_byte, {}, set()
-        for c in chunks:
-            parts = []
-            for i, x in enumerate(self.is_special.split(c) if self.is_special else [c]):
-                if i % 2:
-                    parts.append(self.special[x])
-                elif x:
-                    x = unicodedata.normalize("NFC", x) if not x.isascii() else x
-                    x = self.space.sub(" ", x)
-                    x = x.lower() if x.isascii() else "".join(y.lower() for y in x)
-                    parts += ["".join([of_byte[b] for b in p.encode()]) for p in self.split.findall(x)]
-            pieces[c] = parts
-            words.update(p for p in parts if type(p) is str)
-        ids_of = self.encode_words(words)
-        out = {}
-        for c, parts in pieces.items():
-            ids = [t for p in parts for t in (ids_of[p] if type(p) is str else (p,))]
-            out[c] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[t] for t in ids]))
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
+        parts: list = []
+        for i, x in enumerate(self.is_special.split(chunk) if self.is_special else [chunk]):
+            if i % 2:
+                parts.append(self.special[x])
+            elif x:
+                if x.isascii():
+                    x = x.lower()
+                else:
+                    x = "".join([y.lower() for y in unicodedata.normalize("NFC", x)])
+                for p in self.split.findall(x):  # no alternative crosses white space, so its kind does not matter
+                    parts.append(p if p.isascii() and p.isprintable() else "".join([self.of_byte[b] for b in p.encode()]))
+        return parts
+
+    def encode_chunks(self, chunks) -> dict[str, tuple[bytes, str]]:
+        """For texts that hold no blank: their ids as little-endian bytes, and the names of the tokens joined by blanks."""
+        parts_of = {c: self.pieces(c) for c in chunks}
+        ids_of = self.encode_words({p for parts in parts_of.values() for p in parts if type(p) is str})
+        out, raw, names = {}, self.raw, self.names
+        for c, parts in parts_of.items():
+            ids = ids_of[parts[0]] if len(parts) == 1 and type(parts[0]) is str else [t for p in parts for t in (ids_of[p] if type(p) is str else (p,))]
+            out[c] = (b"".join([raw[t] for t in ids]), " ".join([names[t] for t in ids]))
         return out
 
 
@@ -193,21 +235,19 @@ def encoding(spec_json):
     def f(batches):
         bpe, cache = encoder(spec_json.value), worker_cache()
         ids, names = cache.setdefault("bpe-ids", {}), cache.setdefault("bpe-names", {})
-        for batch in batches:
+        for batch in sliced(batches, "text", 1_000_000):
             k = batch.num_columns - 1
-            out_ids, out_text = [], []
-            for text in batch.column(k).to_pylist():
-                # nothing that is encoded together holds a blank, line feed or tab
-                chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-                new = {c for c in chunks if c not in ids}
-                if new:
-                    if len(ids) > KEPT:
-                        ids.clear(), names.clear()
-                        new = set(chunks)
-                    for c, (i, d) in bpe.encode_chunks(new).items():
-                        ids[c], names[c] = i, d
-                out_ids.append(b"".join(map(ids.__getitem__, chunks)))
-                out_text.append(" ".join([x for x in map(names.__getitem__, chunks) if x]))
+            # nothing that is encoded together holds a blank, line feed or tab
+            texts = [(x or "").replace("\n", " ").replace("\t", " ").split(" ") for x in batch.column(k).to_pylist()]
+            every = set().union(*texts)
+            new = every.difference(ids)
+            if len(ids) + len(new) > KEPT:
+                ids.clear(), names.clear()
+                new = every
+            for c, (i, d) in bpe.encode_chunks(new).items():
+                ids[c], names[c] = i, d
+            out_ids = [b"".join(map(ids.__getitem__, x)) for x in texts]
+            out_text = [" ".join(filter(None, map(names.__getitem__, x))) for x in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], names=[*batch.schema.names[:k], "ids", "decoded"])
 
     return f
