@@ -7,6 +7,10 @@ are close by edits. Texts of equal words are one text from the start. In a bucke
 members are paired with one another and many with four of them (smallest id, fewest words, most words,
 smallest hash), so pairs grow with members, not with their square. Pairs are verified by a banded
 alignment of words: similarity 1 - edits / longer length >= 0.8. Classes are connected components.
+
+What the sketches leave apart is then searched exactly. An edit changes two of a text's word pairs at
+most, so of the rarest 2/5 of each text's word pairs and k more, similar texts have k in common (a prefix
+filter; k grows with the text). Texts of different classes that do, close in length, are aligned as well.
 """
 
 from __future__ import annotations
@@ -24,24 +28,29 @@ WORDS, TABLES, WIDTH = 5, 40, 2
 SMALL = 8
 #: Members of one pivot that one group of an alignment task takes.
 GROUP = 500
+#: Texts whose word pairs tell which are common (of any order the search is exact; of this one it is fast), and counters for them.
+ORDER_SAMPLE, CELL_BITS = 10_000, 21
+#: Rare word pairs of one task of the exact search, and those a task holds before it sends them.
+BUCKET, HELD = 1_000_000, 4_000_000
 WORD_BYTES = bytes([*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)])
 
+RARE = "bucket int, gram binary, owner binary, doc binary, class binary, n binary"
 SKETCH = "doc long, k1 long, k2 long, n int, sketch array<long>, words binary"
 
 
-def kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled k-mers of all rows, in order, and their number in each row (one for 1 to WORDS words)."""
+def kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled k-mers of width words of all rows, in order, and their number in each row (one for 1 to width words)."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(words)) - first[row]
     left = sizes[row] - place
-    factors = random_u64(WORDS, 99) | U64(1)
+    factors = random_u64(width, 99) | U64(1)
     h = np.zeros(len(words), U64)
     with np.errstate(over="ignore"):
-        for j in range(WORDS):
+        for j in range(width):
             part = np.zeros(len(words), U64)
-            part[: len(words) - j] = words[j:] if j else words
+            part[: max(len(words) - j, 0)] = words[j:]
             h += np.where(left > j, part * factors[j], U64(0))
-        starts = (left >= WORDS) | (place == 0)
+        starts = (left >= width) | (place == 0)
         h, row = mix64(h[starts]), row[starts]
         order = np.lexsort((h, row))  # stable: equal k-mers of a row stay in text order
         new = np.ones(len(h), bool)
@@ -145,6 +154,12 @@ def similar(a: list, b: list) -> bool:
     return edits_within(a, b, max(len(a), len(b)) // 5) is not None
 
 
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """False only if too few words of each occur in the other for similar()."""
+    least = max(len(a), len(b)) - max(len(a), len(b)) // 5
+    return min(len(a), len(b)) >= least and np.isin(a, b).sum() >= least and np.isin(b, a).sum() >= least
+
+
 def aligned(batches):
     """From rows (pivot, part, other, doc, words) sorted so that a pivot stands before its members: the pairs that are similar."""
     held, base, memo = None, None, {}
@@ -154,16 +169,159 @@ def aligned(batches):
             if held != (pivot, part):
                 held, base, memo = (pivot, part), [], {}
             if not other:
-                base.append(unpack(words, np.uint32).tolist())
+                base.append(unpack(words, np.uint32))
                 continue
             if words not in memo:
-                mine = unpack(words, np.uint32).tolist()
-                memo[words] = any(similar(x, mine) for x in base)
+                mine = unpack(words, np.uint32)
+                memo[words] = any(may_be_similar(x, mine) and similar(x.tolist(), mine.tolist()) for x in base)
             if memo[words]:
                 out.append((doc, pivot))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def portions(batches):
+    """The record batches cut so that each part has about 400,000 bytes of packed words at most (one row at least)."""
+    for batch in batches:
+        if batch.num_rows:
+            part = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64)) // 400_000
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+
+
+def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed words: labelled word pairs of all rows, their rows, and the number of words of each row."""
+    each = [unpack(x, np.uint32) for x in column.to_pylist()]
+    sizes = np.array([len(x) for x in each], np.int64)
+    words = np.concatenate(each).astype(U64) if len(each) else np.zeros(0, U64)
+    grams, counts = kmers(words, np.cumsum(sizes) - sizes, sizes, 2)
+    return grams, np.repeat(np.arange(len(sizes)), counts), sizes
+
+
+def counting(batches):
+    """(cell, n): how many word pairs of this task's texts fall in each counter."""
+    count = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in portions(batches):
+        count += np.bincount((word_pairs(batch.column(0))[0] >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(count))
+    some = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some])], names=["cell", "n"])
+
+
+def needed(n: np.ndarray) -> np.ndarray:
+    """How many rare word pairs a text of n words has in common with a similar one; of two texts the smaller number holds."""
+    return 1 + n // 20
+
+
+def prefix_sizes(n: np.ndarray) -> np.ndarray:
+    """How many of a text's word pairs, first in any fixed order, hold needed(n) of each similar text's: so many more than that text may lack.
+
+    Texts of n and m >= n words have m - 1 - 2 * (m // 5) word pairs in common at least; m = n to n + 4 has the largest gap.
+    """
+    return np.max([2 * ((n + i) // 5) - i for i in range(5)], axis=0) + needed(n)
+
+
+def rarest(common, n_buckets: int):
+    """From rows (doc, class, words): the rarest word pairs of each text, as blocks for each bucket of word pairs. Texts under 4 words are similar to none."""
+
+    def f(batches):
+        count = common.value
+        held: list[list[np.ndarray]] = []
+
+        def blocks():
+            gram, doc, class_, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            bucket = (gram % U64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")  # rows of one text stay together
+            at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            out = []
+            for a, b in zip(at, np.append(at[1:], len(order))):
+                i = order[a:b]
+                new = np.ones(len(i), bool)
+                new[1:] = (np.diff(doc[i]) != 0) | (np.diff(n[i]) != 0)
+                own = i[new]
+                out.append((int(bucket[i[0]]), pack(gram[i]), pack(new.astype(np.uint8)), pack(doc[own]), pack(class_[own]), pack(n[own])))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 6))], names=["bucket", "gram", "owner", "doc", "class", "n"])
+
+        for batch in portions(batches):
+            grams, row, sizes = word_pairs(batch.column(2))
+            if not len(grams):
+                continue
+            order = np.lexsort((grams, count[(grams >> U64(64 - CELL_BITS)).astype(np.int64)], row))
+            grams, row = grams[order], row[order]
+            start = np.searchsorted(row, np.arange(len(sizes)))
+            keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes)[row]) & (sizes[row] >= 4)
+            row = row[keep]
+            doc, class_ = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            # 48 bits: word pairs that fall together are only aligned in vain
+            held.append([grams[keep] & U64((1 << 48) - 1), doc[row], class_[row], sizes[row].astype(np.int32)])
+            if sum(len(x[0]) for x in held) > HELD:
+                yield blocks()
+        if held and any(len(x[0]) for x in held):
+            yield blocks()
+
+    return f
+
+
+def meeting(batches):
+    """From blocks sorted by bucket: the pairs of texts of two classes that share word pairs and are close in length, how many they share here and need."""
+    found: list[np.ndarray] = []
+
+    def pairs():
+        out, shared = np.unique(np.concatenate(found) if found else np.zeros((0, 3), np.int64), axis=0, return_counts=True)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(shared.astype(np.int64)), pa.array(out[:, 2])], names=["doc", "pivot", "shared", "need"])
+
+    def bucket(parts):
+        gram, doc, class_, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((n, gram))
+        gram, doc, class_, n = gram[order], doc[order], class_[order], n[order].astype(np.int64)
+        at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        size = np.diff(np.append(at, len(gram)))
+        mixed = np.minimum.reduceat(class_, at) != np.maximum.reduceat(class_, at)
+        end = np.repeat(at + size, size)
+        i, step, waiting = np.flatnonzero(np.repeat(mixed, size)), 0, 0
+        while len(i):
+            step += 1
+            i = i[i + step < end[i]]
+            j = i + step
+            near = n[j] - n[i] <= n[j] // 5  # longer ones come later: none of them is near
+            i, j = i[near], j[near]
+            differ = class_[i] != class_[j]
+            a, b = doc[i[differ]], doc[j[differ]]
+            if len(a):
+                found.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed(n[i[differ]])], axis=1))  # n[i] <= n[j]
+                waiting += len(a)
+            if waiting > 500_000:
+                yield pairs()
+                waiting = 0
+        yield pairs()
+
+    held, parts = None, []
+    for batch in batches:
+        for of, gram, owner, *each in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if of != held and parts:
+                yield from bucket(parts)
+                parts = []
+            held, own = of, np.cumsum(unpack(owner, np.uint8), dtype=np.int64) - 1
+            parts.append([unpack(gram, U64), *(unpack(x, t)[own] for x, t in zip(each, (np.int64, np.int64, np.int32)))])
+    if parts:
+        yield from bucket(parts)
+
+
+def unmet(texts: DataFrame, all_: DataFrame) -> DataFrame:
+    """(doc, pivot): from texts (doc, class, words), pairs of different classes; all those that are similar are among them."""
+    spark = texts.sparkSession
+    total, words = all_.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    some = all_.where("n >= 4").where(F.pmod(F.xxhash64("doc"), F.lit(max(1, total // ORDER_SAMPLE))) == 0).select("words")
+    counted = some.mapInArrow(counting, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << CELL_BITS, np.int32)
+    common[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 1 << 30)
+    n_buckets = max(16, int(0.4 * words) // BUCKET)
+    blocks = texts.select("doc", "class", "words").mapInArrow(rarest(spark.sparkContext.broadcast(common), n_buckets), RARE)
+    met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "doc long, pivot long, shared long, need long")
+    return met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("doc", "pivot")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc, class): the smallest id of each linked id's connected component.
 
@@ -215,7 +373,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     many = members.where(F.col("members") > SMALL).select("doc", F.explode(F.array("p0", "p1", "p2", "p3")).alias("pivot"))
     few = members.where(F.col("members") <= SMALL).groupBy("h").agg(F.sort_array(F.collect_list("doc")).alias("d")).select(F.explode("d").alias("pivot"), "d").select("pivot", F.explode("d").alias("doc")).where("doc > pivot")
     pairs = many.union(few.select("doc", "pivot")).where("doc != pivot").select(F.greatest("doc", "pivot").alias("doc"), F.least("doc", "pivot").alias("pivot")).distinct()
-    pairs = written(pairs, "pairs")
+    links = written(linked(written(pairs, "pairs"), all_), "linked")
+    found = components(links.union(copies))
+    texts = all_.where("n >= 4").select("doc", "k1", "k2", "words").join(first.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"], "left_semi")
+    texts = texts.join(found, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"), "words")
+    more = written(linked(written(unmet(texts, all_), "unmet"), all_), "linked")
+    return components(found.select(F.col("doc").alias("a"), F.col("class").alias("b")).union(more))
+
+
+def linked(pairs: DataFrame, all_: DataFrame) -> DataFrame:
+    """(a, b): those of the pairs (doc, pivot) that are similar."""
     # a pivot with many members is aligned in several parts
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     parts = written(parts, "parts")
@@ -223,8 +390,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     own = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("other"), F.col("pivot").alias("doc"))
     work = roles.union(own).join(all_.select("doc", "k1", "k2", "words"), "doc").select("pivot", "part", "other", "doc", "words")
     work = work.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "other")
-    links = work.mapInArrow(aligned, "a long, b long")
-    return components(links.union(copies))
+    return work.mapInArrow(aligned, "a long, b long")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,33 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path):
     assert neardup.op9_order_minhash(spark, h.empty(spark, tmp_path / "none")).count() == 0
 
 
+def classes_by_brute_force(texts):
+    """The smallest place of each text's class: all pairs are aligned."""
+    w = [t.split(" ") for t in texts]
+    of = list(range(len(w)))
+    for i in range(len(w)):
+        for j in range(i):
+            if of[i] != of[j] and neardup.similar(w[i], w[j]):
+                a, b = sorted((of[i], of[j]))
+                of = [a if x == b else x for x in of]
+    return of
+
+
+def near_classes(spark, texts):
+    got = {r.doc: r["class"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [got.get(i, i) for i in range(len(texts))]
+
+
+def test_near_duplicates_that_meet_in_hot_buckets_only(spark):
+    passage, texts = h.words(60, 999), []
+    for i in range(60):
+        own = h.words(24, 1000 + i).split(" ")
+        texts.append(f"{passage} {' '.join(own)}")
+        # every third own word differs: no five words but those of the passage are the same
+        texts.append(f"{passage} {' '.join(f'z{i}z{j}' if j % 3 == 0 else x for j, x in enumerate(own))}")
+    assert near_classes(spark, texts) == classes_by_brute_force(texts) == [i - i % 2 for i in range(120)]
+
+
 def test_components_of_paths_stars_and_islands(spark):
     r = random.Random(9)
     ids = list(range(40))
