@@ -212,6 +212,28 @@ def test_near_duplicates_that_meet_in_hot_buckets_only(spark):
     assert near_classes(spark, texts) == classes_by_brute_force(texts) == [i - i % 2 for i in range(120)]
 
 
+def test_near_duplicates_of_all_lengths_down_to_the_threshold(spark):
+    texts, pairs = [], []
+    for n in (4, 5, 6, 9, 10, 11, 15, 19, 20, 24, 40, 100, 250, 1000):
+        for k in range(8):
+            base = h.words(n, 5000 + 10 * n + k).split(" ")
+            kind, edits = k % 4, max(1, n // 5 if k < 4 else n // 10)
+            at = {round((i + 0.5) * n / edits) for i in range(edits)}  # spread over the text
+            if kind == 0:
+                other = [f"q{n}q{k}q{j}" if j in at else x for j, x in enumerate(base)]
+            elif kind == 1:
+                other = [x for j, x in enumerate(base) if j not in at]
+            elif kind == 2:
+                other = [y for j, x in enumerate(base) for y in ([f"q{n}q{k}q{j}", x] if j in at else [x])]
+            else:  # one more than the threshold allows
+                other = [f"q{n}q{k}q{j}" if j < n // 5 + 1 else x for j, x in enumerate(base)]
+            pairs.append((len(texts), neardup.similar(base, other)))
+            texts += [" ".join(base), " ".join(other)]
+    want = classes_by_brute_force(texts)
+    assert sum(near for _, near in pairs) > 70 and all((want[i + 1] == i) == near for i, near in pairs)
+    assert near_classes(spark, texts) == want
+
+
 def test_components_of_paths_stars_and_islands(spark):
     r = random.Random(9)
     ids = list(range(40))
