@@ -2,17 +2,20 @@
 
 Each source's documents, in a seeded random order, are dealt into blocks. Block j (from 1) of a source
 of weight w is released at slot floor((j - 1) / w) and due by slot ceil(j / w); of the released blocks,
-that of the earliest deadline goes next. With weights that are whole numbers of a period's slots the
-schedule repeats, so one period, of bounded length, tells the slot of every block of any table. At each
-slot a source has had its weight's share of the slots so far to within less than one block, as long as
-it has blocks; a source that runs out leaves its slots empty, and the others keep their proportions.
+that of the earliest deadline goes next. Windows come from the exact weights over the whole schedule,
+nothing is rounded, so at each slot a source has had its weight's share of the slots so far to within less
+than one block, as long as it has blocks; a source that runs out asks for no more slots, and the others
+keep their windows. The driver deals one slot to each block: BLOCK documents, 8 bytes.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,31 +42,40 @@ def periods(weights: dict[str, float], slots: int) -> dict[str, int]:
     return out
 
 
-def schedule(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slot (from 0) of each of a source's blocks in one period of sum(shares) slots: earliest deadline first among released blocks."""
-    slots = sum(shares.values())
-    out: dict[str, list[int]] = {k: [] for k in shares}
-    waiting = sorted((0, k) for k in shares)
-    ready: list[tuple[int, str]] = []
+def slots_of(weights: dict[str, float], blocks: dict[str, int]) -> dict[str, array]:
+    """Slot (from 0) of each of a source's blocks: earliest deadline first among released blocks, by exact weights; slots without a released block stay empty."""
+    total = sum(Fraction(v) for v in weights.values())
+    each = {k: total / Fraction(v) for k, v in weights.items()}  # slots for a block
+    out = {k: array("q") for k in weights}
+    waiting = [(0, k) for k in weights if blocks[k]]
     heapq.heapify(waiting)
-    for t in range(slots):
+    ready: list[tuple[int, str]] = []
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             k = heapq.heappop(waiting)[1]
-            w = Fraction(shares[k], slots)
-            heapq.heappush(ready, (-(-(len(out[k]) + 1) // w), k))
-        _, k = heapq.heappop(ready)
+            heapq.heappush(ready, (-(-(len(out[k]) + 1) * each[k].numerator // each[k].denominator), k))
+        k = heapq.heappop(ready)[1]
         out[k].append(t)
-        if len(out[k]) < shares[k]:
-            heapq.heappush(waiting, (int(len(out[k]) / Fraction(shares[k], slots)), k))
+        if len(out[k]) < blocks[k]:
+            heapq.heappush(waiting, (len(out[k]) * each[k].numerator // each[k].denominator, k))
+        t += 1
     return out
 
 
+def schedule(shares: dict[str, int]) -> dict[str, list[int]]:
+    """Slot (from 0) of each of a source's blocks in one period of sum(shares) slots."""
+    return {k: list(v) for k, v in slots_of(shares, shares).items()}
+
+
 def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: int = 1, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """docs with _source, _block, _slot and _place (within the block): reading by (_slot, _place) mixes the sources. No row goes or comes twice.
 
     A null source is the source "". Without weights, a source weighs the square root of its rows; sources
     that are not among the weights follow all others. Rows that repeat an id have no fixed order among
-    themselves. The sources, one row each, are counted on the driver.
+    themselves. The sources, one row each, are counted on the driver. Weights are exact: period rounds nothing any more.
     """
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
     key = F.xxhash64(F.lit(seed), F.col(doc_id))
@@ -80,15 +92,12 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: i
     # in doubles, equal keys would fall in one bucket anyway: ranks stay whole
     nth = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(F.shiftrightunsigned(key, 1), doc_id))
     rows = rows.withColumn("_nth", nth).join(sizes, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_nth") - 1)
-    shares = periods(weights, period) if weights else {}
-    slots = sum(shares.values())
-    plan = [(k, j, t) for k, ts in (schedule(shares) if shares else {}).items() for j, t in enumerate(ts)]
-    plan = spark.createDataFrame(plan, "_source string, _turn long, _at long")  # as many rows as a period has slots
-    share = F.create_map(*[F.lit(x) for k, v in shares.items() for x in (k, v)]) if shares else F.create_map().cast("map<string,int>")
-    number = F.floor(F.col("_rank") / block)
-    rows = rows.withColumn("_block", number).withColumn("_share", F.coalesce(F.get(F.transform(F.array(F.col("_source")), lambda s: F.element_at(share, s)), F.lit(0)), F.lit(1)))
-    rows = rows.withColumn("_turn", F.col("_block") % F.col("_share")).join(F.broadcast(plan), ["_source", "_turn"], "left")
-    slot = F.when(F.col("_at").isNull(), F.lit(1 << 61) + F.col("_block")).otherwise(F.floor(F.col("_block") / F.col("_share")) * slots + F.col("_at"))
+    plan = slots_of(weights, {k: -(-counts[k] // block) for k in weights})
+    parts = [pa.table({"_source": pa.array([k] * len(v), pa.string()), "_block": pa.array(range(len(v)), pa.int64()), "_at": pa.array(np.array(v, np.int64))}) for k, v in plan.items()]
+    empty = pa.table({"_source": pa.array([], pa.string()), "_block": pa.array([], pa.int64()), "_at": pa.array([], pa.int64())})
+    plan = spark.createDataFrame(pa.concat_tables([empty, *parts]))
+    rows = rows.withColumn("_block", F.floor(F.col("_rank") / block)).join(plan, ["_source", "_block"], "left")
+    slot = F.coalesce("_at", F.lit(1 << 61) + F.col("_block"))
     return rows.select(*docs.columns, "_source", "_block", slot.cast("long").alias("_slot"), (F.col("_rank") % block).alias("_place"))
 
 

@@ -121,6 +121,22 @@ def test_mixing_deviates_less_than_a_block(spark, sf):
     assert min(r._slot for r in rows if r._source not in ("s", "t")) > max(r._slot for r in rows if r._source in ("s", "t"))
 
 
+def test_mixing_keeps_true_weights_over_many_periods(spark):
+    weights, n = {"a": 50**0.5, "b": 7**0.5, "c": 1.0, "rare": 1e-5}, 60_000
+    total = sum(weights.values())
+    plan = mixing.slots_of(weights, {k: int(n * v / total) + 2 for k, v in weights.items()})
+    taken = np.concatenate([np.array(v) for v in plan.values()])
+    assert len(np.unique(taken)) == len(taken)
+    for k, v in weights.items():
+        had = np.searchsorted(np.array(plan[k]), np.arange(n))
+        assert np.abs(had - v / total * np.arange(n)).max() < 1 + 1e-6
+    # and the rows follow it: 3000 blocks, periods of 7 slots
+    docs = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 6 = 0, 'b', 'a') AS source")
+    rows = mixing.scheduled(docs, {"a": 5.0, "b": 1.0 + 1e-3}, block=2, period=7).collect()
+    slots = sorted({r._slot for r in rows if r._source == "b"})
+    assert len(slots) == 500 and max(abs(i - s * 1.001 / 6.001) for i, s in enumerate(slots)) < 1.001
+
+
 def test_bpe_equals_library(spark, sf):
     from tokenizers import Tokenizer
 
