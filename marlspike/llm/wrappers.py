@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,7 @@ AROUND_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("article articlebody post postbody entry story".split())
 MAIN_NAMES = frozenset("main content maincontent".split())
+#: Levels and neighbours of a wrapper; pages are read at any depth.
 DEPTH, WIDE = 60, 200
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -54,6 +56,7 @@ def label(tag: str, attributes: str) -> str:
 def events(page: str):
     """(1, label) opens a block element, (-1, None) closes one, (2, text) is text (of a link: 3), (0, None) is white space or a break."""
     at, stack, link, end = 0, [], False, len(page)
+    opened: Counter = Counter()  # of the stack
     while at < end:
         m = TOKEN.search(page, at)
         start = m.start() if m else end
@@ -69,9 +72,10 @@ def events(page: str):
         if m[1]:
             if tag in INLINE:
                 link = link and tag != "a"
-            elif tag in stack:
+            elif opened[tag]:
                 while True:
                     top = stack.pop()
+                    opened[top] -= 1
                     yield -1, None
                     if top == tag:
                         break
@@ -98,30 +102,31 @@ def events(page: str):
         if tag in VOID:
             continue
         link = False
-        if tag == "body" and "head" in stack:
-            while stack.pop() != "head":
+        if tag == "body" and opened["head"]:
+            while True:
+                top = stack.pop()
+                opened[top] -= 1
                 yield -1, None
-            yield -1, None
-        if "p" in stack:
+                if top == "head":
+                    break
+        if opened["p"]:
             while True:
                 top = stack.pop()
+                opened[top] -= 1
                 yield -1, None
                 if top == "p":
                     break
-        if tag in CLOSED_BY_SELF:
+        if tag in CLOSED_BY_SELF and any(opened[x] for x in (tag, "dt", "dd", "td", "th")):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i] in CLOSED_BY_SELF[tag]:
                     break
                 if stack[i] == tag or (tag in ("dt", "dd") and stack[i] in ("dt", "dd")) or (tag in ("td", "th") and stack[i] in ("td", "th")) or (tag == "tr" and stack[i] in ("td", "th")):
                     while len(stack) > i:
-                        stack.pop()
+                        opened[stack.pop()] -= 1
                         yield -1, None
-        if len(stack) < DEPTH:
-            stack.append(tag)
-            yield 1, label(tag, m[3])
-        else:  # deeper elements are boundaries of blocks only
-            yield 1, tag
-            yield -1, None
+        stack.append(tag)
+        opened[tag] += 1
+        yield 1, label(tag, m[3])
 
 
 # A wrapper element is [label, multiplicity, plain, children]: multiplicity "1", "?", "+" or "*"; plain
@@ -208,7 +213,8 @@ def skeleton(page: str) -> list:
     for kind, x in events(page):
         if kind == 1:
             node = [x, "1", False, []]
-            stack[-1][3].append(node)
+            if len(stack) <= DEPTH:  # deeper elements only say whether there is text
+                stack[-1][3].append(node)
             stack.append(node)
         elif kind == -1:
             node = stack.pop()

@@ -88,6 +88,14 @@ def test_main_text(page):
     assert wrappers.main_text(page, wrappers.Roles(wrappers.skeleton(page))) == CASES[page]
 
 
+def test_deep_elements_close_themselves_only():
+    deep = "<div>" * 70
+    page = f"<div><article><p>head</p>{deep}<p>low</p><div class='advert'>buy</div>{'</div>' * 70}<p>tail</p></article></div>"
+    assert wrappers.main_text(page, wrappers.Roles(wrappers.skeleton(page))) == "head\n\nlow\n\ntail"
+    page = f"<article>{'<div>' * 5000}low</article>"
+    assert wrappers.main_text(page, wrappers.Roles(wrappers.skeleton(page))) == "low"
+
+
 def test_wrappers_align_to_optional_and_repeated():
     one = wrappers.skeleton("<body><h1>a</h1><p>b</p></body>")
     two = wrappers.skeleton("<body><h1>a</h1><p>b</p><p>c</p><div>x</div></body>")
