@@ -3,7 +3,7 @@
 A page's tag stream is folded into a skeleton: elements with a label (tag, class, id, role), text as
 slots. Skeletons of one host are aligned, level by level: where the streams mismatch, a repetition of
 what stands before becomes a repeated group, an element that one side lacks becomes optional, and text
-becomes a slot. Folding is done within each task first and the distinct results of a host meet after,
+that differs becomes a slot: text that all pages have stays constant, and is the host's template. Folding is done within each task first and the distinct results of a host meet after,
 so a host with a third of all pages sends a few small wrappers. Each wrapper element then gets a role,
 once for the host, and every page is read whole through its host's wrapper.
 """
@@ -13,9 +13,11 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,8 +131,12 @@ def events(page: str):
         yield 1, label(tag, m[3])
 
 
-# A wrapper element is [label, multiplicity, plain, children]: multiplicity "1", "?", "+" or "*"; plain
-# is whether it holds text that is no link's; a group of elements that repeat together is labelled "()".
+# A wrapper element is [label, multiplicity, plain, children, text]: multiplicity "1", "?", "+" or "*"; plain
+# is whether it holds text that is no link's; text is a checksum of all text in it, 0 for none, SLOT if pages
+# differ. A group of elements that repeat together is labelled "()". A root has the number of its pages as well.
+SLOT = -1
+#: Pages of a host from which on its constant text is its template.
+PAGES = 5
 
 
 def _times(a: str, b: str) -> str:
@@ -139,7 +145,7 @@ def _times(a: str, b: str) -> str:
 
 def align(a: list, b: list) -> list:
     """The wrapper of both of two elements with the same label."""
-    return [a[0], _times(a[1], b[1]), a[2] or b[2], aligned(a[3], b[3])]
+    return [a[0], _times(a[1], b[1]), a[2] or b[2], aligned(a[3], b[3]), a[4] if a[4] == b[4] else SLOT, *([a[5] + b[5]] if len(a) > 5 else [])]
 
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
@@ -190,11 +196,11 @@ def repeated(items: list[list]) -> list[list]:
                 before = out[-size - 1] if len(out) > size else None
                 if before is not None and before[0] == "()" and [y[0] for y in before[3]] == names:
                     del out[-size:]
-                    out[-1] = ["()", "+", before[2] or any(y[2] for y in tail), [align(c, d) for c, d in zip(before[3], tail)]]
+                    out[-1] = ["()", "+", before[2] or any(y[2] for y in tail), [align(c, d) for c, d in zip(before[3], tail)], SLOT]
                 elif len(out) >= 2 * size and [y[0] for y in out[-2 * size : -size]] == names and len(set(names)) > 1 and "()" not in names:
                     first = out[-2 * size : -size]
                     del out[-2 * size :]
-                    out.append(["()", "+", any(y[2] for y in first + tail), [align(c, d) for c, d in zip(first, tail)]])
+                    out.append(["()", "+", any(y[2] for y in first + tail), [align(c, d) for c, d in zip(first, tail)], SLOT])
         items = out
     if len(items) > WIDE:  # no order is left to find: one repeated element for each label
         one: dict[str, list] = {}
@@ -208,11 +214,11 @@ def repeated(items: list[list]) -> list[list]:
 
 def skeleton(page: str) -> list:
     """A page as a wrapper of itself."""
-    root = ["", "1", False, []]
+    root = ["", "1", False, [], 0, 1]
     stack = [root]
     for kind, x in events(page):
         if kind == 1:
-            node = [x, "1", False, []]
+            node = [x, "1", False, [], 0]
             if len(stack) <= DEPTH:  # deeper elements only say whether there is text
                 stack[-1][3].append(node)
             stack.append(node)
@@ -220,13 +226,16 @@ def skeleton(page: str) -> list:
             node = stack.pop()
             node[3] = repeated(node[3])
             stack[-1][2] = stack[-1][2] or node[2]
-        elif kind == 2 and not stack[-1][2] and BLANK.search(x):
-            stack[-1][2] = True
+            stack[-1][4] = zlib.crc32(b"%d" % node[4], stack[-1][4]) if node[4] else stack[-1][4]
+        elif kind >= 2 and BLANK.search(x):
+            stack[-1][2] = stack[-1][2] or kind == 2
+            stack[-1][4] = zlib.crc32(" ".join(x.split()).encode("utf-8", "replace"), stack[-1][4]) or 1
     while stack:
         node = stack.pop()
         node[3] = repeated(node[3])
         if stack:
             stack[-1][2] = stack[-1][2] or node[2]
+            stack[-1][4] = zlib.crc32(b"%d" % node[4], stack[-1][4]) if node[4] else stack[-1][4]
     return root
 
 
@@ -235,7 +244,7 @@ def packed(wrapper: list) -> str:
 
 
 def folding(batches):
-    """(host, wrapper) of each host in this task's pages."""
+    """(host, wrapper, pages) of each host in this task's pages; the wrapper does not count them, so that equal ones are one."""
     found: dict[str | None, list] = {}
     seen: set = set()
     for batch in batches:
@@ -248,25 +257,28 @@ def folding(batches):
                 seen.add(key)
                 found[host] = align(found[host], own) if host in found else own
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([packed(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
+        pages = [w[5] for w in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([packed([*w[:5], 0]) for w in found.values()], pa.string()), pa.array(pages, pa.int64())], names=["host", "wrapper", "pages"])
 
 
 def meeting(rows: pa.Table) -> pa.Table:
-    """One wrapper for all of a host's."""
+    """One wrapper for all of a host's, with the number of their pages."""
     out = None
     for w in sorted(rows.column("wrapper").to_pylist()):
         out = json.loads(w) if out is None else align(out, json.loads(w))
-    return pa.table({"host": rows.column("host").slice(0, 1).cast(pa.string()), "wrapper": pa.array([packed(out)], pa.string())})
+    out[5] = pc.sum(rows.column("pages")).as_py()
+    return pa.table({"host": rows.column("host").slice(0, 1).cast(pa.string()), "wrapper": pa.array([packed(out)], pa.string()), "pages": pa.array([out[5]], pa.int64())})
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper) over all pages; a URL without a host has the host ""."""
     rows = pages.select(host_of(url).alias("host"), F.col(html).cast("string").alias("html"))
-    part = rows.mapInArrow(folding, "host string, wrapper string").distinct()
+    kind = "host string, wrapper string, pages long"
+    part = rows.mapInArrow(folding, kind).groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))
     # two steps, so that a host that every task has does not send all its parts to one group
     near = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
-    half = near.groupBy("host", "salt").applyInArrow(meeting, "host string, wrapper string").distinct()
-    return half.groupBy("host").applyInArrow(meeting, "host string, wrapper string")
+    half = near.groupBy("host", "salt").applyInArrow(meeting, kind)
+    return half.groupBy("host").applyInArrow(meeting, kind).select("host", "wrapper")
 
 
 def host_of(url: str):
@@ -275,11 +287,14 @@ def host_of(url: str):
 
 class Roles:
     """A wrapper with the role of each element: children by label, whether it stands around the article, and how near to one it is
-    (3 within an article, 2 within main, 1 within content, 0 else)."""
+    (3 within an article, 2 within main, 1 within content, 0 else).
+
+    With template, all pages of the host have the element, with the same text, in one whose text differs: it stands around the
+    article unless its name says it is one. Elsewhere names decide."""
 
     __slots__ = ("children", "around", "level")
 
-    def __init__(self, node: list | None, parent: "Roles | None" = None):
+    def __init__(self, node: list | None, parent: "Roles | None" = None, template: bool = False, fixed: bool = False):
         name = node[0] if node else ""
         tag, *names = name.split(" ")
         level = parent.level if parent else 0
@@ -300,16 +315,23 @@ class Roles:
             around = tag in AROUND_TAGS or (named and inner and not article and not main) or (tag == "header" and level < 3)
             if node and level == 0 and tag in ("ul", "ol") and not node[2]:  # only links, on all pages of the host
                 around = True
+            if template and inner and not article and not main and tag != "article":
+                around = True
             if tag == "article" or (article and tag in ("div", "section")):
                 level = 3
             elif tag == "main" or (main and tag in ("div", "section", "td")):
                 level = max(level, 2 if tag == "main" or "main" in names else 1)
         self.around, self.level = around, level
         self.children: dict[str, Roles] = {}
-        for x in node[3] if node else ():
-            for y in x[3] if x[0] == "()" else [x]:
-                if y[0] not in self.children:
-                    self.children[y[0]] = Roles(y, self)
+        if parent is None:
+            fixed = bool(node) and node[5] >= PAGES
+        each = [(y, x[1] in "1+" and y[1] in "1+") for x in (node[3] if node else ()) for y in (x[3] if x[0] == "()" else [x])]
+        # elements of one label cannot be told apart in a page: all are constant or none
+        moving = {y[0] for y, always in each if not always or y[4] in (SLOT, 0)}
+        differs = fixed and node[4] == SLOT
+        for y, always in each:
+            if y[0] not in self.children:
+                self.children[y[0]] = Roles(y, self, differs and y[0] not in moving, fixed and always)
 
 
 def main_text(page: str, roles: Roles) -> str:

@@ -117,6 +117,17 @@ def test_extraction_over_hosts(spark, tmp_path):
     assert wrappers.op7_wrapper_extraction(spark, h.empty(spark, tmp_path / "none", "pages", PAGE)).count() == 0
 
 
+def test_text_that_all_pages_of_a_host_share_is_template(spark, tmp_path):
+    page = "<div class='qa'><ul><li>Home<li>About</ul><p>Pages of ours</p></div><div class='qb'><h1>T{0}</h1><p>text {0}</p></div><div class='qc'>Buy now</div>"
+    same = "<div class='qa'>menu {0}</div><article><p>the same</p></article>"  # an article of all pages is one still
+    rows = [(i, f"http://a.example.com/{i}", page.format(i)) for i in range(12)] + [(20 + i, f"http://b.example.com/{i}", same.format(i)) for i in range(12)]
+    rows += [(40 + i, f"http://c.example.com/{i}", page.format(i)) for i in range(2)]  # too few pages to tell
+    sf = h.save(spark.createDataFrame(rows, PAGE), tmp_path, "pages")
+    got = {r.page_id: r.text for r in wrappers.op7_wrapper_extraction(spark, sf).collect()}
+    assert all(got[i] == f"T{i}\n\ntext {i}" and got[20 + i] == "the same" for i in range(12))
+    assert "Home" in got[40] and "text 0" in got[40]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
