@@ -2,7 +2,8 @@
 
 A document is toxic when one of its sentences is: its score is the noisy-or of its sentences', 1 minus
 the product of (1 - p). A sentence's p is logistic in its distinct hashed words. Weights are fitted to
-document labels through the noisy-or, on a bounded sample of labelled documents; every text is then
+document labels through the noisy-or, on a bounded sample of labelled documents, weighted to the
+labels' shares among all that may be learnt from; every text is then
 scored whole, and sentences() gives the spans that carry a document's score.
 """
 
@@ -48,9 +49,10 @@ def sentence_scores(feature: np.ndarray, sentence: np.ndarray, n: int, weights:
     return -np.logaddexp(0, z)
 
 
-def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1) -> np.ndarray:
+def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1, of: dict[int, int] | None = None) -> np.ndarray:
     """Weights from (label, features, sentence of each) documents by projected gradient steps (Adam) on the noisy-or likelihood.
 
+    of: how many documents of each label the given ones stand for; without it, themselves.
     Weights are not negative, so that clean words never excuse a sentence,
     and words in a small share of the toxic documents are left out: too few to tell from chance. Without toxic documents every score is low.
     """
@@ -60,6 +62,9 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300,
     n, n_toxic = len(documents), int(label.sum())
     if not n_toxic:
         return out
+    given = np.bincount(label.astype(int), minlength=2)
+    stands = np.array([of.get(k, 0) if of else given[k] for k in (0, 1)]) / np.maximum(given, 1)
+    part = stands[label.astype(int)] / stands[label.astype(int)].sum()  # of the likelihood
     least, price = max(0.004, 1.5 / n_toxic), 5e-5
     share = np.zeros(1 << BITS)
     for toxic, f, _ in documents:
@@ -80,7 +85,7 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = 300,
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         clear = np.minimum(np.bincount(owner, -np.logaddexp(0, z), n), -1e-9)  # log of the probability that no sentence is toxic
         # d loss / d z: p for a clean document, -p * (1 - P) / P for a toxic one
-        dz = p * (np.where(label == 1, -np.exp(clear) / -np.expm1(clear), 1.0) / n)[owner]
+        dz = p * (np.where(label == 1, -np.exp(clear) / -np.expm1(clear), 1.0) * part)[owner]
         g = np.append(np.bincount(at, dz[sentence], len(used)) + price, dz.sum())
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         w -= rate / (1 + step / 150) * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-4)
@@ -113,14 +118,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text")
     """Weights from labelled documents (joined on doc_id) where learn holds: of each label, the SAMPLE of smallest hash of their id."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label IN (0, 1)")
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text")).where(learn)
-    chosen = None
+    chosen, of = None, {r[0]: r[1] for r in marked.where(learn).distinct().groupBy("label").count().collect()}
     for value in (0, 1):  # a top-k by hash: no task or driver sees more than SAMPLE rows of a label
         part = marked.where(F.col("label") == value).where(learn).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.union(part)
     # SAMPLE rows of 12 bytes for each label: a proven bound
     got = rows.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(features, FEATURES).toArrow()
     rows = sorted(got.to_pylist(), key=lambda r: (r["label"], r["feature"], r["sentence"]))
-    return fit([(r["label"], unpack(r["feature"], np.int32), unpack(r["sentence"], np.int32)) for r in rows])
+    return fit([(r["label"], unpack(r["feature"], np.int32), unpack(r["sentence"], np.int32)) for r in rows], of=of)
 
 
 def scoring(weights):

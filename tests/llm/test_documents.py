@@ -309,3 +309,20 @@ def test_toxicity_from_document_labels(spark, tmp_path):
     h.empty(spark, none)
     h.empty(spark, none, "labels", "doc_id long, quality int, toxic int")
     assert toxicity.op10_toxicity(spark, str(none)).count() == 0
+
+
+def test_toxicity_fit_keeps_the_shares_of_the_labels():
+    r = random.Random(8)
+
+    def document(toxic):
+        words = [r.randrange(100, 10**6) for _ in range(12)] + [7] * (r.random() < (0.7 if toxic else 0.2))
+        return int(toxic), np.array(words, np.int64), np.zeros(len(words), np.int32)
+
+    def score(w, *words):
+        return -np.expm1(toxicity.sentence_scores(np.array(words, np.int64), np.zeros(len(words), np.int64), 1, w))[0]
+
+    toxic, clean = [document(True) for _ in range(100)], [document(False) for _ in range(900)]
+    every = toxicity.fit(toxic + clean)
+    sample = toxicity.fit(toxic + clean[:100], of={0: 900, 1: 100})
+    forced = toxicity.fit(toxic + clean[:100])
+    assert abs(score(sample, 7) - score(every, 7)) < 0.15 < score(forced, 7) - score(every, 7)
