@@ -2,7 +2,7 @@
 
 A document is toxic when one of its sentences is: its score is the noisy-or of its sentences', 1 minus
 the product of (1 - p). A sentence's p is logistic in its distinct hashed words. Weights are fitted to
-document labels through the noisy-or, on a bounded sample of labelled documents, weighted to the
+document labels through the noisy-or, on a bounded sample of whole labelled documents, weighted to the
 labels' shares among all that may be learnt from; every text is then
 scored whole, and sentences() gives the spans that carry a document's score.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, lut, pack, row_of, run_hashes, runs, sliced, table, text_bytes, unpack, word_values
 
-#: Labelled documents of each label that the fit may use, and features it may take of one document.
-SAMPLE, SAMPLE_FEATURES = 2000, 6000
+#: Labelled documents of each label that the fit may use, always whole.
+SAMPLE = 2000
 BITS = 20
 #: Words count whole and by their first bytes, so that forms of one stem share what is learnt.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -98,7 +98,7 @@ FEATURES = "label int, feature binary, sentence binary"
 
 
 def features(batches):
-    """(label, feature, sentence), packed, of each row (text, label); at most SAMPLE_FEATURES features, of whole sentences spread evenly over the text."""
+    """(label, feature, sentence), packed, of each row (text, label)."""
     for batch in sliced(batches, "text"):
         feature, sentence, s_row, _ = sentences_of(batch.column(0))
         row = s_row[sentence] if len(sentence) else sentence
@@ -106,9 +106,6 @@ def features(batches):
         out: list[list] = [[], []]
         for a, b in zip(cuts, cuts[1:]):
             f, s = feature[a:b], sentence[a:b]
-            if len(f) > SAMPLE_FEATURES:
-                keep = s % -(-len(f) // SAMPLE_FEATURES) == 0
-                f, s = f[keep], s[keep]
             out[0].append(pack(f.astype(np.int32)))
             out[1].append(pack(np.unique(s, return_inverse=True)[1].astype(np.int32)))
         yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x, pa.binary()) for x in out)], names=["label", "feature", "sentence"])

@@ -326,3 +326,11 @@ def test_toxicity_fit_keeps_the_shares_of_the_labels():
     sample = toxicity.fit(toxic + clean[:100], of={0: 900, 1: 100})
     forced = toxicity.fit(toxic + clean[:100])
     assert abs(score(sample, 7) - score(every, 7)) < 0.15 < score(forced, 7) - score(every, 7)
+
+
+def test_toxicity_fit_reads_long_documents_whole():
+    import pyarrow as pa
+
+    texts = [". ".join(h.words(12, i) for i in range(1200)) + ". vile", "short one"]
+    got = next(toxicity.features([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0], pa.int32())], names=["text", "label"])]))
+    assert len(np.unique(toxicity.unpack(got.column(2)[0].as_py(), np.int32))) == 1201
