@@ -72,7 +72,8 @@ class Result:
 
     def lines(self) -> DataFrame:
         """row and line: the normalised row as delimited text. Without schema columns there is nothing to write."""
-        rows = self.records.select("row", delimited.rendered(self._normal_cells(), self.schema.delimiter).alias("line"))
+        cells = self.records.select("row", *[x.alias(f"n{i}") for i, x in enumerate(self._normal_cells())])
+        rows = cells.select("row", delimited.rendered([F.col(f"n{i}") for i in range(len(self.schema.columns))], self.schema.delimiter).alias("line"))
         return rows if self.schema.columns else rows.limit(0)
 
     def write_normalized(self, path: str, one_file: bool = False) -> None:
