@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import filesystem, shared_dir
 
 U64 = np.uint64
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -32,7 +32,17 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the tables of frames that written() gave. Nothing that is still to run may read them."""
+    for df in frames:
+        if df is not None:
+            fs, inner = filesystem(df._written_to)
+            fs.delete_dir(inner)
 
 
 def worker_cache() -> dict:

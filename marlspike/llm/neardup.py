@@ -9,8 +9,11 @@ smallest hash), so pairs grow with members, not with their square. Pairs are ver
 alignment of words: similarity 1 - edits / longer length >= 0.8. Classes are connected components.
 
 What the sketches leave apart is then searched exactly. An edit changes two of a text's word pairs at
-most, so of the rarest 2/5 of each text's word pairs and k more, similar texts have k in common (a prefix
-filter; k grows with the text). Texts of different classes that do, close in length, are aligned as well.
+most, so of the rarest 2/5 of each text's word pairs and one more, similar texts have one in common (a
+prefix filter). Texts of different classes that do, close in length, are aligned as well.
+
+Pairs are aligned by blocks of pivots: a text travels once for each block that it has pivots in, not once
+for each pair.
 """
 
 from __future__ import annotations
@@ -21,15 +24,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, lut, mix64, pack, random_u64, row_of, run_hashes, runs, sliced, table, text_bytes, unpack, word_values, written
+from .common import U64, discard, lut, mix64, pack, random_u64, row_of, run_hashes, runs, sliced, table, text_bytes, unpack, word_values, written
 
 WORDS, TABLES, WIDTH = 5, 40, 2
 #: Buckets of this many texts or fewer are paired in full.
 SMALL = 8
-#: Members of one pivot that one group of an alignment task takes.
-GROUP = 500
-#: Texts whose word pairs tell which are common (of any order the search is exact; of this one it is fast), and counters for them.
-ORDER_SAMPLE, CELL_BITS = 10_000, 21
+#: Pivots of one block of alignments, pairs that one group of a block takes, and words of unpacked pivots that it keeps.
+PIVOTS, PAIRS, UNPACKED = 500, 4000, 1_000_000
+#: Bits of a text's bitmap of distinct words.
+BITS = 1 << 14
+#: Counters for word pairs (of any order of word pairs the search is exact; with the common ones last it is fast): two
+#: tables of 2^CELL_BITS, counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte for each.
+CELL_BITS, SLICE_BITS = 23, 17
 #: Rare word pairs of one task of the exact search, and those a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 4_000_000
 WORD_BYTES = bytes([*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)])
@@ -154,28 +160,56 @@ def similar(a: list, b: list) -> bool:
     return edits_within(a, b, max(len(a), len(b)) // 5) is not None
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """False only if too few words of each occur in the other for similar()."""
-    least = max(len(a), len(b)) - max(len(a), len(b)) // 5
-    return min(len(a), len(b)) >= least and np.isin(a, b).sum() >= least and np.isin(b, a).sum() >= least
+class Read:
+    """A text's words, its distinct words, and a bitmap of their hashes."""
+
+    def __init__(self, packed: bytes):
+        words = unpack(packed, np.uint32)
+        bits = np.zeros(BITS, bool)
+        bits[words % BITS] = True
+        self.words = words.tolist()
+        self.distinct = set(self.words)
+        self.bits = int.from_bytes(np.packbits(bits).tobytes())
+
+
+def may_be_similar(a: Read, b: Read) -> bool:
+    """False only if similar() is: an edit changes two distinct words at most; too few words of each may occur in the other."""
+    n = max(len(a.words), len(b.words))
+    least = n - n // 5
+    if min(len(a.words), len(b.words)) < least or (a.bits ^ b.bits).bit_count() > 2 * (n // 5):
+        return False
+    return sum(map(b.distinct.__contains__, a.words)) >= least and sum(map(a.distinct.__contains__, b.words)) >= least
 
 
 def aligned(batches):
-    """From rows (pivot, part, other, doc, words) sorted so that a pivot stands before its members: the pairs that are similar."""
-    held, base, memo = None, None, {}
+    """From rows (block, part, doc, pivots, words) sorted so that a block's pivots (pivots null) stand before the texts to align with them: the pairs that are similar."""
+    held, base, ready, size = None, {}, {}, 0
+
+    def pivot_read(pivot: int, k: int) -> Read:
+        nonlocal size
+        if (pivot, k) not in ready:
+            if size > UNPACKED:
+                ready.clear()
+                size = 0
+            ready[pivot, k] = Read(base[pivot][k])
+            size += len(ready[pivot, k].words)
+        return ready[pivot, k]
+
     for batch in batches:
         out: list[tuple] = []
-        for pivot, part, other, doc, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if held != (pivot, part):
-                held, base, memo = (pivot, part), [], {}
-            if not other:
-                base.append(unpack(words, np.uint32))
+        for block, part, doc, pivots, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if held != (block, part):
+                held, base, size = (block, part), {}, 0
+                ready.clear()
+            if pivots is None:
+                base.setdefault(doc, []).append(words)
                 continue
-            if words not in memo:
-                mine = unpack(words, np.uint32)
-                memo[words] = any(may_be_similar(x, mine) and similar(x.tolist(), mine.tolist()) for x in base)
-            if memo[words]:
-                out.append((doc, pivot))
+            mine = Read(words)
+            for pivot in pivots:
+                for k, packed in enumerate(base.get(pivot, ())):
+                    if packed == words or may_be_similar(x := pivot_read(pivot, k), mine) and similar(x.words, mine.words):
+                        out.append((doc, pivot))
+                        break
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -198,26 +232,48 @@ def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, np.repeat(np.arange(len(sizes)), counts), sizes
 
 
+def cells(grams: np.ndarray) -> list[np.ndarray]:
+    """The counter of each word pair in both tables."""
+    return [(x >> U64(64 - CELL_BITS)).astype(np.int64) for x in (grams, mix64(grams))]
+
+
 def counting(batches):
-    """(cell, n): how many word pairs of this task's texts fall in each counter."""
-    count = np.zeros(1 << CELL_BITS, np.int64)
+    """(slice, counts): how many word pairs of this task's texts fall in each counter. One alone counts as none: it says little, and most are."""
+    count = np.zeros((2, 1 << CELL_BITS), np.int32)
     for batch in portions(batches):
-        count += np.bincount((word_pairs(batch.column(0))[0] >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(count))
-    some = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some])], names=["cell", "n"])
+        for of, cell in zip(count, cells(word_pairs(batch.column(0))[0])):
+            np.add.at(of, cell, 1)
+    for i, of in enumerate(count.reshape(-1, 1 << SLICE_BITS)):
+        of[of == 1] = 0
+        if of.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(of)], pa.binary())], names=["slice", "counts"])
 
 
-def needed(n: np.ndarray) -> np.ndarray:
-    """How many rare word pairs a text of n words has in common with a similar one; of two texts the smaller number holds."""
-    return 1 + n // 20
+def summed(batches):
+    """From (slice, counts) sorted by slice: for each slice one row of the sums' logarithms, a byte each."""
+    held, total = None, np.zeros(0, np.int64)
+
+    def row():
+        steps = np.round(8 * np.log2(total + 1)).clip(0, 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([pack(steps)], pa.binary())], names=["slice", "counts"])
+
+    for batch in batches:
+        for of, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if of != held:
+                if held is not None:
+                    yield row()
+                held, total = of, np.zeros(1 << SLICE_BITS, np.int64)
+            total += unpack(counts, np.int32)
+    if held is not None:
+        yield row()
 
 
 def prefix_sizes(n: np.ndarray) -> np.ndarray:
-    """How many of a text's word pairs, first in any fixed order, hold needed(n) of each similar text's: so many more than that text may lack.
+    """How many of a text's word pairs, first in any fixed order, hold one of each similar text's: one more than that text may lack.
 
     Texts of n and m >= n words have m - 1 - 2 * (m // 5) word pairs in common at least; m = n to n + 4 has the largest gap.
     """
-    return np.max([2 * ((n + i) // 5) - i for i in range(5)], axis=0) + needed(n)
+    return np.max([2 * ((n + i) // 5) - i for i in range(5)], axis=0) + 1
 
 
 def rarest(common, n_buckets: int):
@@ -246,7 +302,8 @@ def rarest(common, n_buckets: int):
             grams, row, sizes = word_pairs(batch.column(2))
             if not len(grams):
                 continue
-            order = np.lexsort((grams, count[(grams >> U64(64 - CELL_BITS)).astype(np.int64)], row))
+            a, b = cells(grams)
+            order = np.lexsort((grams, np.minimum(count[0][a], count[1][b]), row))
             grams, row = grams[order], row[order]
             start = np.searchsorted(row, np.arange(len(sizes)))
             keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes)[row]) & (sizes[row] >= 4)
@@ -263,13 +320,13 @@ def rarest(common, n_buckets: int):
 
 
 def meeting(batches):
-    """From blocks sorted by bucket: the pairs of texts of two classes that share word pairs and are close in length, how many they share here and need."""
+    """From blocks sorted by bucket: the pairs of texts of two classes that share a word pair and are close in length."""
     found: list[np.ndarray] = []
 
     def pairs():
-        out, shared = np.unique(np.concatenate(found) if found else np.zeros((0, 3), np.int64), axis=0, return_counts=True)
+        out = np.unique(np.concatenate(found) if found else np.zeros((0, 2), np.int64), axis=0)
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(shared.astype(np.int64)), pa.array(out[:, 2])], names=["doc", "pivot", "shared", "need"])
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc", "pivot"])
 
     def bucket(parts):
         gram, doc, class_, n = (np.concatenate(x) for x in zip(*parts))
@@ -289,7 +346,7 @@ def meeting(batches):
             differ = class_[i] != class_[j]
             a, b = doc[i[differ]], doc[j[differ]]
             if len(a):
-                found.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed(n[i[differ]])], axis=1))  # n[i] <= n[j]
+                found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
                 waiting += len(a)
             if waiting > 500_000:
                 yield pairs()
@@ -308,18 +365,17 @@ def meeting(batches):
         yield from bucket(parts)
 
 
-def unmet(texts: DataFrame, all_: DataFrame) -> DataFrame:
-    """(doc, pivot): from texts (doc, class, words), pairs of different classes; all those that are similar are among them."""
+def unmet(texts: DataFrame) -> DataFrame:
+    """(doc, pivot): from texts (doc, class, n, words), pairs of different classes; all those that are similar are among them."""
     spark = texts.sparkSession
-    total, words = all_.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    some = all_.where("n >= 4").where(F.pmod(F.xxhash64("doc"), F.lit(max(1, total // ORDER_SAMPLE))) == 0).select("words")
-    counted = some.mapInArrow(counting, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(1 << CELL_BITS, np.int32)
-    common[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 1 << 30)
+    words = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = np.zeros((2, 1 << CELL_BITS), np.uint8)
+    counted = texts.select("words").mapInArrow(counting, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slice int, counts binary")
+    for i, counts in zip(*counted.toArrow().to_pydict().values()):
+        common.reshape(-1, 1 << SLICE_BITS)[i] = unpack(counts, np.uint8)
     n_buckets = max(16, int(0.4 * words) // BUCKET)
     blocks = texts.select("doc", "class", "words").mapInArrow(rarest(spark.sparkContext.broadcast(common), n_buckets), RARE)
-    met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "doc long, pivot long, shared long, need long")
-    return met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("doc", "pivot")
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "doc long, pivot long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,18 +395,26 @@ def components(links: DataFrame) -> DataFrame:
         while True:
             above = roots.select(F.col("doc").alias("root"), F.col("root").alias("next"))
             jumped = written(roots.join(above, "root").select("doc", F.col("next").alias("root"), F.col("root").alias("was")), "roots")
-            roots = jumped.select("doc", "root")
-            if jumped.where("root != was").isEmpty():
+            done = jumped.where("root != was").isEmpty()
+            discard(roots)
+            roots = jumped
+            if done:
                 break
+        of = roots.select("doc", "root")
+        before = found
         if found is None:
-            found = roots.select("doc", F.col("root").alias("class"))
+            found = of.select("doc", F.col("root").alias("class"))
         else:
-            found = found.join(roots.select(F.col("doc").alias("class"), "root"), "class", "left").select("doc", F.coalesce("root", "class").alias("class"))
-        drawn = edges.join(roots.withColumnRenamed("doc", "a"), "a").select("b", F.col("root").alias("x"))
-        drawn = drawn.join(roots.withColumnRenamed("doc", "b"), "b").select(F.col("x").alias("a"), F.col("root").alias("b"))
-        edges = written(between(drawn), "links")
+            found = found.join(of.select(F.col("doc").alias("class"), "root"), "class", "left").select("doc", F.coalesce("root", "class").alias("class"))
+        found = written(found, "classes")
+        drawn = edges.join(of.withColumnRenamed("doc", "a"), "a").select("b", F.col("root").alias("x"))
+        drawn = drawn.join(of.withColumnRenamed("doc", "b"), "b").select(F.col("x").alias("a"), F.col("root").alias("b"))
+        left = written(between(drawn), "links")
+        discard(edges, roots, before)
+        edges = left
         if edges.isEmpty():
-            return written(found, "classes")
+            discard(edges)
+            return found
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,23 +437,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     many = members.where(F.col("members") > SMALL).select("doc", F.explode(F.array("p0", "p1", "p2", "p3")).alias("pivot"))
     few = members.where(F.col("members") <= SMALL).groupBy("h").agg(F.sort_array(F.collect_list("doc")).alias("d")).select(F.explode("d").alias("pivot"), "d").select("pivot", F.explode("d").alias("doc")).where("doc > pivot")
     pairs = many.union(few.select("doc", "pivot")).where("doc != pivot").select(F.greatest("doc", "pivot").alias("doc"), F.least("doc", "pivot").alias("pivot")).distinct()
-    links = written(linked(written(pairs, "pairs"), all_), "linked")
+    pairs = written(pairs, "pairs")
+    links = written(linked(pairs, all_), "linked")
     found = components(links.union(copies))
-    texts = all_.where("n >= 4").select("doc", "k1", "k2", "words").join(first.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"], "left_semi")
-    texts = texts.join(found, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"), "words")
-    more = written(linked(written(unmet(texts, all_), "unmet"), all_), "linked")
-    return components(found.select(F.col("doc").alias("a"), F.col("class").alias("b")).union(more))
-
-
-def linked(pairs: DataFrame, all_: DataFrame) -> DataFrame:
-    """(a, b): those of the pairs (doc, pivot) that are similar."""
-    # a pivot with many members is aligned in several parts
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    parts = written(parts, "parts")
-    roles = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("other"), "doc")
-    own = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("other"), F.col("pivot").alias("doc"))
-    work = roles.union(own).join(all_.select("doc", "k1", "k2", "words"), "doc").select("pivot", "part", "other", "doc", "words")
-    work = work.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "other")
+    of = first.select(F.col("rep").alias("doc"), "k1", "k2").join(found, "doc", "left").select("doc", "k1", "k2", F.coalesce("class", "doc").alias("class"))
+    texts = written(all_.where("n >= 4").select("doc", "k1", "k2", "n", "words").join(of, ["doc", "k1", "k2"]).select("doc", "class", "n", "words"), "texts")
+    discard(all_, first, buckets, pairs, links)
+    pairs = written(unmet(texts), "unmet")
+    more = written(linked(pairs, texts), "linked")
+    out = components(found.select(F.col("doc").alias("a"), F.col("class").alias("b")).union(more))
+    discard(texts, pairs, more, found)
+    return out
+
+
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): those of the pairs (doc, pivot) that are similar, from texts (doc, words)."""
+    blocks = max(1, pairs.select("pivot").distinct().count() // PIVOTS)
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("pivot"), F.lit(blocks)))
+    parts = written(pairs.groupBy("block").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "parts")
+    own = pairs.select("block", F.col("pivot").alias("doc")).distinct().join(parts, "block")
+    own = own.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc", F.lit(None).cast("array<long>").alias("pivots"))
+    others = pairs.join(parts, "block").select("block", F.pmod(F.hash("doc"), F.col("parts")).cast("int").alias("part"), "doc", "pivot")
+    others = others.groupBy("block", "part", "doc").agg(F.collect_list("pivot").alias("pivots"))  # as many as a block has, at most
+    work = own.unionByName(others).join(texts.select("doc", "words"), "doc").select("block", "part", "doc", "pivots", "words")
+    work = work.repartition("block", "part").sortWithinPartitions("block", "part", F.col("pivots").isNotNull(), "doc")
     return work.mapInArrow(aligned, "a long, b long")
 
 
@@ -401,8 +472,9 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that with the smallest id; of rows that repeat an id, one. Rows with a null id stay."""
+    """One document of each class, that with the smallest id; of its rows, one of each text. Rows with a null id stay."""
     gone = classes(docs).where("doc != class").select(F.col("doc").alias("_id"))
     rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"))
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_key"))
-    return rows.join(gone, "_id", "left_anti").withColumn("_nth", nth).where("_nth = 1 OR _id IS NULL").select("_row.*")
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    kept = rows.where("_id IS NOT NULL").join(gone, "_id", "left_anti").withColumn("_nth", nth).where("_nth = 1")
+    return kept.select("_row.*").union(rows.where("_id IS NULL").select("_row.*"))
