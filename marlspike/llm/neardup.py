@@ -9,8 +9,9 @@ smallest hash), so pairs grow with members, not with their square. Pairs are ver
 alignment of words: similarity 1 - edits / longer length >= 0.8. Classes are connected components.
 
 What the sketches leave apart is then searched exactly. An edit changes two of a text's word pairs at
-most, so of the rarest 2/5 of each text's word pairs and one more, similar texts have one in common (a
-prefix filter). Texts of different classes that do, close in length, are aligned as well.
+most, so of the rarest 2/5 of each text's word pairs and k more, similar texts have k in common (a prefix
+filter; k is 1 for short texts and 3 for most). Texts of different classes that do, close in length, are
+aligned as well.
 
 Pairs are aligned by blocks of pivots: a text travels once for each block that it has pivots in, not once
 for each pair.
@@ -268,12 +269,17 @@ def summed(batches):
         yield row()
 
 
+def needed(n: np.ndarray) -> np.ndarray:
+    """How many rare word pairs a text of n words has in common with a similar one; of two texts the smaller number holds."""
+    return np.minimum(1 + n // 20, 3)
+
+
 def prefix_sizes(n: np.ndarray) -> np.ndarray:
-    """How many of a text's word pairs, first in any fixed order, hold one of each similar text's: one more than that text may lack.
+    """How many of a text's word pairs, first in any fixed order, hold needed(n) of each similar text's: so many more than that text may lack.
 
     Texts of n and m >= n words have m - 1 - 2 * (m // 5) word pairs in common at least; m = n to n + 4 has the largest gap.
     """
-    return np.max([2 * ((n + i) // 5) - i for i in range(5)], axis=0) + 1
+    return np.max([2 * ((n + i) // 5) - i for i in range(5)], axis=0) + needed(n)
 
 
 def rarest(common, n_buckets: int):
@@ -320,13 +326,13 @@ def rarest(common, n_buckets: int):
 
 
 def meeting(batches):
-    """From blocks sorted by bucket: the pairs of texts of two classes that share a word pair and are close in length."""
+    """From blocks sorted by bucket: the pairs of texts of two classes that share word pairs and are close in length, how many they share here and need."""
     found: list[np.ndarray] = []
 
     def pairs():
-        out = np.unique(np.concatenate(found) if found else np.zeros((0, 2), np.int64), axis=0)
+        out, shared = np.unique(np.concatenate(found) if found else np.zeros((0, 3), np.int64), axis=0, return_counts=True)
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc", "pivot"])
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(shared.astype(np.int64)), pa.array(out[:, 2])], names=["doc", "pivot", "shared", "need"])
 
     def bucket(parts):
         gram, doc, class_, n = (np.concatenate(x) for x in zip(*parts))
@@ -346,7 +352,7 @@ def meeting(batches):
             differ = class_[i] != class_[j]
             a, b = doc[i[differ]], doc[j[differ]]
             if len(a):
-                found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+                found.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed(n[i[differ]])], axis=1))  # n[i] <= n[j]
                 waiting += len(a)
             if waiting > 500_000:
                 yield pairs()
@@ -375,7 +381,8 @@ def unmet(texts: DataFrame) -> DataFrame:
         common.reshape(-1, 1 << SLICE_BITS)[i] = unpack(counts, np.uint8)
     n_buckets = max(16, int(0.4 * words) // BUCKET)
     blocks = texts.select("doc", "class", "words").mapInArrow(rarest(spark.sparkContext.broadcast(common), n_buckets), RARE)
-    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "doc long, pivot long").distinct()
+    met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "doc long, pivot long, shared long, need long")
+    return met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("doc", "pivot")
 
 
 def components(links: DataFrame) -> DataFrame:
