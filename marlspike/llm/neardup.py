@@ -34,9 +34,9 @@ SMALL = 8
 PIVOTS, PAIRS, UNPACKED = 500, 4000, 1_000_000
 #: Bits of a text's bitmap of distinct words.
 BITS = 1 << 14
-#: Counters for word pairs (of any order of word pairs the search is exact; with the common ones last it is fast): two
-#: tables of 2^CELL_BITS, counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte for each.
-CELL_BITS, SLICE_BITS = 23, 17
+#: Counters for word pairs (of any order of word pairs the search is exact; with the common ones last it is fast): 2^CELL_BITS,
+#: counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte each. A task sorts COUNTED of its word pairs at once.
+CELL_BITS, SLICE_BITS, COUNTED = 24, 17, 4_000_000
 #: Rare word pairs of one task of the exact search, and those a task holds before it sends them.
 BUCKET, HELD = 1_000_000, 4_000_000
 WORD_BYTES = bytes([*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)])
@@ -47,6 +47,19 @@ SKETCH = "doc long, k1 long, k2 long, n int, sketch array<long>, words binary"
 
 def kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled k-mers of width words of all rows, in order, and their number in each row (one for 1 to width words)."""
+    h, row = plain_kmers(words, first, sizes, width)
+    order = np.lexsort((h, row))  # stable: equal k-mers of a row stay in text order
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    at = np.flatnonzero(new)
+    nth = np.empty(len(h), U64)
+    nth[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    with np.errstate(over="ignore"):
+        return mix64(h + nth * U64(0x9E3779B97F4A7C15)), np.bincount(row, minlength=len(sizes))
+
+
+def plain_kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-mers of all rows, in order, and their rows."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(words)) - first[row]
     left = sizes[row] - place
@@ -58,14 +71,7 @@ def kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int =
             part[: max(len(words) - j, 0)] = words[j:]
             h += np.where(left > j, part * factors[j], U64(0))
         starts = (left >= width) | (place == 0)
-        h, row = mix64(h[starts]), row[starts]
-        order = np.lexsort((h, row))  # stable: equal k-mers of a row stay in text order
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-        at = np.flatnonzero(new)
-        nth = np.empty(len(h), U64)
-        nth[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
-        return mix64(h + nth * U64(0x9E3779B97F4A7C15)), np.bincount(row, minlength=len(sizes))
+        return mix64(h[starts]), row[starts]
 
 
 def order_minhash(marks: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -126,8 +132,13 @@ def edits_within(a: list, b: list, limit: int) -> int | None:
     n, m = len(a), len(b)
     if n - m > limit:
         return None
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), m)
+    tail = min(next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), m), m - same)
+    a, b = a[same : n - tail], b[same : m - tail]
+    n, m = len(a), len(b)
     if not m:
         return n
+    limit = min(limit, n)
     # Bit-parallel: bit r of a vector stands for the row j - limit + r of column j, so the band moves
     # down one row with each column. Rows above the first are as if they matched nothing and cost nothing.
     width = 2 * limit + 1
@@ -183,8 +194,14 @@ def may_be_similar(a: Read, b: Read) -> bool:
 
 
 def aligned(batches):
-    """From rows (block, part, doc, pivots, words) sorted so that a block's pivots (pivots null) stand before the texts to align with them: the pairs that are similar."""
-    held, base, ready, size = None, {}, {}, 0
+    """From rows (block, part, doc, pivots, words) sorted so that a block's pivots (pivots null) stand before the texts to align with them:
+    the pairs that are similar, without those that a group's earlier pairs connect."""
+    held, base, ready, size, above = None, {}, {}, 0, {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
 
     def pivot_read(pivot: int, k: int) -> Read:
         nonlocal size
@@ -200,16 +217,19 @@ def aligned(batches):
         out: list[tuple] = []
         for block, part, doc, pivots, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if held != (block, part):
-                held, base, size = (block, part), {}, 0
+                held, base, size, above = (block, part), {}, 0, {}
                 ready.clear()
             if pivots is None:
                 base.setdefault(doc, []).append(words)
                 continue
             mine = Read(words)
             for pivot in pivots:
+                if root(doc) == root(pivot):
+                    continue
                 for k, packed in enumerate(base.get(pivot, ())):
                     if packed == words or may_be_similar(x := pivot_read(pivot, k), mine) and similar(x.words, mine.words):
                         out.append((doc, pivot))
+                        above[root(doc)] = root(pivot)
                         break
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -224,28 +244,35 @@ def portions(batches):
                 yield batch.slice(a, b - a)
 
 
-def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of packed words: labelled word pairs of all rows, their rows, and the number of words of each row."""
+def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed words: the words of all rows, where each row begins, and how many it has."""
     each = [unpack(x, np.uint32) for x in column.to_pylist()]
     sizes = np.array([len(x) for x in each], np.int64)
-    words = np.concatenate(each).astype(U64) if len(each) else np.zeros(0, U64)
-    grams, counts = kmers(words, np.cumsum(sizes) - sizes, sizes, 2)
-    return grams, np.repeat(np.arange(len(sizes)), counts), sizes
+    return np.concatenate(each).astype(U64) if len(each) else np.zeros(0, U64), np.cumsum(sizes) - sizes, sizes
 
 
-def cells(grams: np.ndarray) -> list[np.ndarray]:
-    """The counter of each word pair in both tables."""
-    return [(x >> U64(64 - CELL_BITS)).astype(np.int64) for x in (grams, mix64(grams))]
+def cells(plain: np.ndarray) -> np.ndarray:
+    """The counter of each word pair."""
+    return (plain >> U64(64 - CELL_BITS)).astype(np.int64)
 
 
 def counting(batches):
-    """(slice, counts): how many word pairs of this task's texts fall in each counter. One alone counts as none: it says little, and most are."""
-    count = np.zeros((2, 1 << CELL_BITS), np.int32)
+    """(slice, counts): how many word pairs of this task's texts fall in each counter. Those that come once among COUNTED are
+    left out: most do, and would only blur the counts of others."""
+    count, held = np.zeros(1 << CELL_BITS, np.int32), []
+
+    def add():
+        plain, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        np.add.at(count, cells(plain[n > 1]), n[n > 1])
+
     for batch in portions(batches):
-        for of, cell in zip(count, cells(word_pairs(batch.column(0))[0])):
-            np.add.at(of, cell, 1)
+        held.append(plain_kmers(*read_words(batch.column(0)), 2)[0])
+        if sum(map(len, held)) > COUNTED:
+            add()
+    if held:
+        add()
     for i, of in enumerate(count.reshape(-1, 1 << SLICE_BITS)):
-        of[of == 1] = 0
         if of.any():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(of)], pa.binary())], names=["slice", "counts"])
 
@@ -305,11 +332,11 @@ def rarest(common, n_buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 6))], names=["bucket", "gram", "owner", "doc", "class", "n"])
 
         for batch in portions(batches):
-            grams, row, sizes = word_pairs(batch.column(2))
-            if not len(grams):
+            words, first, sizes = read_words(batch.column(2))
+            if not len(words):
                 continue
-            a, b = cells(grams)
-            order = np.lexsort((grams, np.minimum(count[0][a], count[1][b]), row))
+            grams, (plain, row) = kmers(words, first, sizes, 2)[0], plain_kmers(words, first, sizes, 2)
+            order = np.lexsort((grams, count[cells(plain)], row))
             grams, row = grams[order], row[order]
             start = np.searchsorted(row, np.arange(len(sizes)))
             keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes)[row]) & (sizes[row] >= 4)
@@ -375,7 +402,7 @@ def unmet(texts: DataFrame) -> DataFrame:
     """(doc, pivot): from texts (doc, class, n, words), pairs of different classes; all those that are similar are among them."""
     spark = texts.sparkSession
     words = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = np.zeros((2, 1 << CELL_BITS), np.uint8)
+    common = np.zeros(1 << CELL_BITS, np.uint8)
     counted = texts.select("words").mapInArrow(counting, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slice int, counts binary")
     for i, counts in zip(*counted.toArrow().to_pydict().values()):
         common.reshape(-1, 1 << SLICE_BITS)[i] = unpack(counts, np.uint8)
@@ -445,13 +472,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     few = members.where(F.col("members") <= SMALL).groupBy("h").agg(F.sort_array(F.collect_list("doc")).alias("d")).select(F.explode("d").alias("pivot"), "d").select("pivot", F.explode("d").alias("doc")).where("doc > pivot")
     pairs = many.union(few.select("doc", "pivot")).where("doc != pivot").select(F.greatest("doc", "pivot").alias("doc"), F.least("doc", "pivot").alias("pivot")).distinct()
     pairs = written(pairs, "pairs")
-    links = written(linked(pairs, all_), "linked")
+    links = linked(pairs, all_)
     found = components(links.union(copies))
     of = first.select(F.col("rep").alias("doc"), "k1", "k2").join(found, "doc", "left").select("doc", "k1", "k2", F.coalesce("class", "doc").alias("class"))
     texts = written(all_.where("n >= 4").select("doc", "k1", "k2", "n", "words").join(of, ["doc", "k1", "k2"]).select("doc", "class", "n", "words"), "texts")
     discard(all_, first, buckets, pairs, links)
     pairs = written(unmet(texts), "unmet")
-    more = written(linked(pairs, texts), "linked")
+    more = linked(pairs, texts)
     out = components(found.select(F.col("doc").alias("a"), F.col("class").alias("b")).union(more))
     discard(texts, pairs, more, found)
     return out
@@ -460,15 +487,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): those of the pairs (doc, pivot) that are similar, from texts (doc, words)."""
     blocks = max(1, pairs.select("pivot").distinct().count() // PIVOTS)
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("pivot"), F.lit(blocks)))
-    parts = written(pairs.groupBy("block").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "parts")
-    own = pairs.select("block", F.col("pivot").alias("doc")).distinct().join(parts, "block")
+    each = pairs.groupBy(F.pmod(F.xxhash64("pivot"), F.lit(blocks)).alias("block"), "doc").agg(F.collect_list("pivot").alias("pivots"))  # as many as a block has, at most
+    each = written(each, "paired")
+    parts = written(each.groupBy("block").agg(F.ceil(F.sum(F.size("pivots")) / PAIRS).cast("int").alias("parts")), "parts")
+    others = each.join(parts, "block").select("block", F.pmod(F.hash("doc"), F.col("parts")).cast("int").alias("part"), "doc", "pivots")
+    own = pairs.select(F.col("pivot").alias("doc")).distinct().withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks))).join(parts, "block")
     own = own.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc", F.lit(None).cast("array<long>").alias("pivots"))
-    others = pairs.join(parts, "block").select("block", F.pmod(F.hash("doc"), F.col("parts")).cast("int").alias("part"), "doc", "pivot")
-    others = others.groupBy("block", "part", "doc").agg(F.collect_list("pivot").alias("pivots"))  # as many as a block has, at most
     work = own.unionByName(others).join(texts.select("doc", "words"), "doc").select("block", "part", "doc", "pivots", "words")
     work = work.repartition("block", "part").sortWithinPartitions("block", "part", F.col("pivots").isNotNull(), "doc")
-    return work.mapInArrow(aligned, "a long, b long")
+    out = written(work.mapInArrow(aligned, "a long, b long"), "linked")
+    discard(each, parts)
+    return out
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
