@@ -29,11 +29,39 @@ def test_bounds_hold_and_blocks_agree():
         for s in topk.SEGMENTS:
             assert (topk.statistics(q, s) @ topk.statistics(x, s).T >= q @ x.T - 1e-6 * np.abs(q @ x.T).max()).all()
         ids = r.permutation(50)
-        for i, (at, scores) in enumerate(topk.best(q, x, ids, 5)):
+        for i, (at, scores) in enumerate(topk.best(topk.Rows(q), topk.Rows(x), ids, 5)):
             exact = x @ q[i]
             assert at.tolist() == sorted(range(50), key=lambda j: (-exact[j], ids[j]))[:5] and scores == exact[at].tolist()
     big = [np.full((1, 3), 2.0**40), np.full((2, 3), 2.0**40)]
-    assert topk.best(big[0], big[1], np.array([7, 5]), 1)[0][0].tolist() == [1]
+    assert topk.best(topk.Rows(big[0]), topk.Rows(big[1]), np.array([7, 5]), 1)[0][0].tolist() == [1]
+
+
+@pytest.mark.parametrize("kind", ["given", "clustered"])
+def test_bounds_prune(kind):
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(1)
+    if kind == "given":
+        x = topk.vectors_of(pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding"))[64][1]
+    else:
+        x = np.floor(256 * (r.normal(size=(40, 64))[r.integers(0, 40, 4000)] + 0.1 * r.normal(size=(4000, 64))))
+    rows = topk.Rows(x)
+    shares = []
+    for i in range(0, len(x), 100):
+        least = np.sort(x @ x[i])[-6]
+        left = topk.survivors(rows, i, rows, least)
+        assert set(np.flatnonzero(x @ x[i] >= least)) <= set(left[-1])
+        shares.append([len(p) / len(x) for p in left])
+    assert np.mean(shares, axis=0)[-1] < 0.25, np.mean(shares, axis=0)
+
+
+def test_top_k_in_many_blocks_of_queries(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(r.normal(size=(1500, 8)))]
+    sf = h.save(spark.createDataFrame(rows, VECTORS).repartition(5), tmp_path, "embeddings")
+    for name, value in (("QUERY_BYTES", 500), ("SAMPLE", 40), ("ROWS", 70)):
+        monkeypatch.setattr(topk, name, value)
+    h.same(topk.op4_segment_top_k(spark, sf), topk.SQL, {"embeddings": sf})
 
 
 PAGE = "page_id long, url string, html string"
