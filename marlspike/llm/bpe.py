@@ -17,10 +17,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_of, sliced, table, worker_cache
+from .common import portions, row_of, sliced, table, worker_cache
 
 #: Distinct chunks of text whose encodings a worker keeps; when full it starts anew.
 KEPT = 400_000
@@ -59,6 +60,11 @@ class TrieBpe:
         self.of_byte = [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
         self.raw = {t: t.to_bytes(4, "little") for t in self.names}
         self.moves: dict[tuple[int, str], int] = {}
+        if spec.get("decoder") is not None:
+            raise ValueError("only files without a decoder of their own are read: their tokens are joined by blanks")
+        #: the name of each id, null where an id has none
+        self.table = pa.array([self.names.get(i) for i in range(max(self.names, default=-1) + 1)], pa.string())
+        self.is_id = self.table.is_valid().to_numpy(zero_copy_only=False)
         self._automaton()
 
     def valid(self, a: int, b: int) -> bool:
@@ -210,16 +216,27 @@ class TrieBpe:
                     parts.append(p if p.isascii() and p.isprintable() else "".join([self.of_byte[b] for b in p.encode()]))
         return parts
 
-    def encode_chunks(self, chunks) -> dict[str, tuple[bytes, str]]:
-        """For texts that hold no blank: their ids as little-endian bytes, and the names of the tokens joined by blanks."""
+    def encode_chunks(self, chunks) -> dict[str, bytes]:
+        """For texts that hold no blank: their ids as little-endian bytes."""
         parts_of = {c: self.pieces(c) for c in chunks}
         ids_of = self.encode_words({p for parts in parts_of.values() for p in parts if type(p) is str})
-        out, raw, names = {}, self.raw, self.names
+        out, raw = {}, self.raw
         for c, parts in parts_of.items():
             ids = ids_of[parts[0]] if len(parts) == 1 and type(parts[0]) is str else [t for p in parts for t in (ids_of[p] if type(p) is str else (p,))]
-            out[c] = (b"".join([raw[t] for t in ids]), " ".join([names[t] for t in ids]))
+            out[c] = b"".join([raw[t] for t in ids])
         return out
 
+    def decode(self, ids: list[bytes | None]) -> pa.Array:
+        """The text of each row of ids (little-endian unsigned 32-bit integers): their tokens' names, special ones too, joined
+        by blanks. Ids without a token give nothing, null gives the empty text."""
+        sizes = np.array([len(x or b"") // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join([x for x in ids if x]), "<u4").astype(np.int64)
+        known = np.flatnonzero(flat < len(self.is_id))
+        known = known[self.is_id[flat[known]]]
+        ends = np.append(0, np.cumsum(sizes))
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(known, ends), pa.int32()), self.table.take(pa.array(flat[known])))
+        return pc.binary_join(lists, " ")
+
 
 def encoder(spec_json: str) -> TrieBpe:
     cache, key = worker_cache(), ("bpe", hashlib.sha256(spec_json.encode()).hexdigest())
@@ -233,8 +250,7 @@ def encoding(spec_json):
     Adds ids (little-endian unsigned 32-bit integers) and decoded to batches whose last column is text."""
 
     def f(batches):
-        bpe, cache = encoder(spec_json.value), worker_cache()
-        ids, names = cache.setdefault("bpe-ids", {}), cache.setdefault("bpe-names", {})
+        bpe, ids = encoder(spec_json.value), worker_cache().setdefault("bpe-ids", {})
         for batch in sliced(batches, "text", 1_000_000):
             k = batch.num_columns - 1
             # nothing that is encoded together holds a blank, line feed or tab
@@ -242,13 +258,23 @@ def encoding(spec_json):
             every = set().union(*texts)
             new = every.difference(ids)
             if len(ids) + len(new) > KEPT:
-                ids.clear(), names.clear()
+                ids.clear()
                 new = every
-            for c, (i, d) in bpe.encode_chunks(new).items():
-                ids[c], names[c] = i, d
-            out_ids = [b"".join(map(ids.__getitem__, x)) for x in texts]
-            out_text = [" ".join(filter(None, map(names.__getitem__, x))) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], names=[*batch.schema.names[:k], "ids", "decoded"])
+            ids.update(bpe.encode_chunks(new))
+            out = [b"".join(map(ids.__getitem__, x)) for x in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(out, pa.binary()), bpe.decode(out)], names=[*batch.schema.names[:k], "ids", "decoded"])
+
+    return f
+
+
+def decoding(spec_json):
+    """Replaces the last column, ids, by the decoded text."""
+
+    def f(batches):
+        bpe = encoder(spec_json.value)
+        for batch in portions(batches, 4_000_000):
+            k = batch.num_columns - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], bpe.decode(batch.column(k).to_pylist())], names=[*batch.schema.names[:k], "decoded"])
 
     return f
 
@@ -274,6 +300,16 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
     return rows.mapInArrow(encoding(spec), rows.select("_row").schema.add("ids", "binary").add("decoded", "string"))
 
 
+def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """rows as a struct _row without the ids, with decoded: the text of a column of ids (binary, little-endian unsigned 32-bit).
+
+    Null or no ids give the empty text; ids that the vocabulary lacks give nothing.
+    """
+    spec = rows.sparkSession.sparkContext.broadcast(tokenizer_file(path))
+    of = rows.select(row_of(rows, ids), F.col(ids).cast("binary").alias("ids"))
+    return of.mapInArrow(decoding(spec), of.select("_row").schema.add("decoded", "string"))
+
+
 def digests(rows: DataFrame) -> DataFrame:
     n = (F.octet_length("ids") / 4).cast("long")
     return rows.select("_row.doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

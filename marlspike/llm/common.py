@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,3 +165,14 @@ def sliced(batches, column: str, limit: int = 2_000_000):
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+
+
+def portions(batches, limit: int = 400_000):
+    """The record batches cut so that each part has about limit bytes of the last column, of binary, at most (one row at least)."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0)
+            part = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)

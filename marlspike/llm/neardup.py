@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, discard, lut, mix64, pack, random_u64, row_of, run_hashes, runs, sliced, table, text_bytes, unpack, word_values, written
+from .common import U64, discard, lut, mix64, pack, portions, random_u64, row_of, run_hashes, runs, sliced, table, text_bytes, unpack, word_values, written
 
 WORDS, TABLES, WIDTH = 5, 40, 2
 #: Buckets of this many texts or fewer are paired in full.
@@ -234,16 +234,6 @@ def aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def portions(batches):
-    """The record batches cut so that each part has about 400,000 bytes of packed words at most (one row at least)."""
-    for batch in batches:
-        if batch.num_rows:
-            part = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64)) // 400_000
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                yield batch.slice(a, b - a)
-
-
 def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of packed words: the words of all rows, where each row begins, and how many it has."""
     each = [unpack(x, np.uint32) for x in column.to_pylist()]

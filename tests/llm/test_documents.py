@@ -159,7 +159,18 @@ def test_bpe_words():
     chunks = list({"".join(r.choice("abcdefghinorstuthe'.!9éßÅΣİ́中😀<|>") for _ in range(r.randint(1, 18))) for _ in range(3000)} | {"a" * 40, "<|endoftext|>x", "don't", "é e"})
     got = mine.encode_chunks(chunks)
     for c, e in zip(chunks, t.encode_batch(chunks, add_special_tokens=False)):
-        assert got[c][0] == np.array(e.ids, "<u4").tobytes(), c
+        assert got[c] == np.array(e.ids, "<u4").tobytes(), c
+
+
+def test_bpe_decodes_any_ids_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(bpe.tokenizer_file())
+    r = random.Random(6)
+    ids = [[r.randrange(50_000) for _ in range(r.choice((0, 1, 5, 3000)))] for _ in range(60)] + [[49406, 0, 49407], [2**32 - 1, 5], list(range(2000))]
+    rows = [(i, bytearray(np.array(x, "<u4").tobytes()), "x") for i, x in enumerate(ids)] + [(-1, None, "x")]
+    out = {x["_row"].doc_id: x.decoded for x in bpe.decoded(spark.createDataFrame(rows, "doc_id long, ids binary, decoded string")).collect()}
+    assert out == {i: t.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)} | {-1: ""}
 
 
 def test_lines_equal_sql(spark, sf, tmp_path):
