@@ -3,9 +3,11 @@ weights that depend on how often the context was seen.
 
 The texts are tokenised once into chunks of packed token streams, a table in the shared folder. Each
 chunk asks for the global training counts of its own words and pairs, by 64-bit hash, in sorted packed
-blocks; one group for each range of hashes adds them up and answers in the same order. So nothing that
-grows with the vocabulary is broadcast, and a word or pair counts once for each chunk that holds it,
-however common it is. Mixture weights come from expectation-maximisation on held-out counts: each
+blocks; one group for each range of hashes adds them up and answers in the same order. A chunk sends FAN
+blocks at most: where more ranges are needed, chunks are added up in groups, range by range, and the sums ask
+in finer ranges, so blocks grow in proportion to the corpus and a group is never larger than a chunk or
+two. Nothing that grows with the vocabulary is broadcast, and a word or pair counts once for each chunk
+that holds it, however common it is. Mixture weights come from expectation-maximisation on held-out counts: each
 training document in turn is taken out of the counts that predict it; what the driver gets for that is
 a histogram over (context bucket, quantised pair and word probability), bounded by its grid.
 """
@@ -18,18 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, U64, lut, mix64, pack, pack_sorted, run_hashes, runs, sliced, table, text_bytes, unpack, unpack_sorted, word_values, written
+from .common import SPACE_BYTES, U64, discard, lut, mix64, pack, pack_sorted, run_hashes, runs, sliced, table, text_bytes, unpack, unpack_sorted, word_values, written
 
 #: The end of a text as a token, and the context before its first word.
 END, START = U64(0x51ED270B0C4F3A91), U64(0x2545F4914F6CDD1D)
-#: Tokens in a chunk (a text is never split), tokens for each range of hashes.
-CHUNK, RANGE = 1_000_000, 2_000_000
+#: Tokens in a chunk (a text is never split), tokens for each range of hashes, ranges that a chunk or sum of chunks asks in at most.
+CHUNK, RANGE, FAN = 1_000_000, 2_000_000, 8192
 #: Steps of the histogram for each power of two; context buckets: 0 for none, else 1 + floor(log2(count)).
 STEPS, BUCKETS, NONE = 8, 50, 1 << 20
 
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, n_tokens long, n_train long, n_train_docs long, words binary, stream binary"
-ASKED = "kind int, bucket int, chunk long, keys binary, counts binary"
-ANSWERED = "chunk long, kind int, bucket int, counts binary, n_distinct long, n_total long"
+ASKED = pa.schema([("kind", pa.int32()), ("prefix", pa.int64()), ("who", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("who", pa.int64()), ("kind", pa.int32()), ("prefix", pa.int64()), ("counts", pa.binary()), ("n_distinct", pa.int64()), ("n_total", pa.int64())])
+ASKED_SQL, ANSWERED_SQL = "kind int, prefix long, who long, keys binary, counts binary", "who long, kind int, prefix long, counts binary, n_distinct long, n_total long"
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +103,7 @@ class Chunk:
 
     def learnt(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """Global counts of words and of pairs, from the answers."""
-        got = {k: np.concatenate([unpack(a["counts"], U64) for a in sorted(answers, key=lambda a: a["bucket"]) if a["kind"] == k] or [np.zeros(0, U64)]).astype(np.int64) for k in (0, 1)}
+        got = {k: np.concatenate([unpack(a["counts"], U64) for a in sorted(answers, key=lambda a: a["prefix"]) if a["kind"] == k] or [np.zeros(0, U64)]).astype(np.int64) for k in (0, 1)}
         words = np.empty(len(self.words), np.int64)
         words[np.argsort(self.words)] = got[0]
         return words, got[1]
@@ -116,30 +119,92 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int64), BUCKETS - 1)
 
 
+def questions(kind: int, who: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> list[dict]:
+    """Sorted keys and their counts as one block for each range of hashes."""
+    prefix = ((keys >> U64(32)) * U64(ranges)) >> U64(32)
+    at = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return [{"kind": kind, "prefix": int(prefix[x]), "who": who, "keys": pack_sorted(keys[x:y]), "counts": pack(counts[x:y].astype(U64))} for x, y in zip(at, np.append(at[1:], len(keys)))]
+
+
 def asking(ranges: int):
     def f(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                out = []
-                for kind, keys, counts in Chunk(row).asks():
-                    bucket = ((keys >> U64(32)) * U64(ranges)) >> U64(32)
-                    cuts = np.searchsorted(bucket, np.arange(ranges + 1, dtype=U64))
-                    out += [{"kind": kind, "bucket": b, "chunk": row["chunk"], "keys": pack_sorted(keys[x:y]), "counts": pack(counts[x:y].astype(U64))} for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+                out = [q for kind, keys, counts in Chunk(row).asks() for q in questions(kind, row["chunk"], keys, counts, ranges)]
+                yield pa.RecordBatch.from_pylist(out, schema=ASKED)
 
     return f
 
 
-def answering(asked: pa.Table) -> pa.Table:
-    rows = asked.to_pylist()
+def summed(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of blocks: the keys of each, all distinct keys, where each block's keys stand among them, and their summed counts."""
     keys = [unpack_sorted(r["keys"]) for r in rows]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), U64)
     np.add.at(total, at, np.concatenate([unpack(r["counts"], U64) for r in rows]))
+    return keys, distinct, at, total
+
+
+def merging(ranges: int):
+    """The blocks of a range of several askers as blocks of their parent, in finer ranges."""
+
+    def f(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        _, distinct, _, total = summed(rows)
+        return pa.Table.from_pylist(questions(rows[0]["kind"], rows[0]["parent"], distinct, total, ranges), schema=ASKED)
+
+    return f
+
+
+def answers_to(rows: list[dict], keys: list[np.ndarray], at: np.ndarray, total: np.ndarray) -> list[dict]:
     cuts = np.cumsum([0, *map(len, keys)])
-    out = [{"chunk": r["chunk"], "kind": r["kind"], "bucket": r["bucket"], "counts": pack(total[at[a:b]]), "n_distinct": 0, "n_total": 0} for r, a, b in zip(rows, cuts, cuts[1:])]
+    return [{"who": r["who"], "kind": r["kind"], "prefix": r["prefix"], "counts": pack(total[at[a:b]]), "n_distinct": 0, "n_total": 0} for r, a, b in zip(rows, cuts, cuts[1:])]
+
+
+def answering(asked: pa.Table) -> pa.Table:
+    rows = asked.to_pylist()
+    keys, _, at, total = summed(rows)
+    out = answers_to(rows, keys, at, total)
     out[0] |= {"n_distinct": int((total > 0).sum()), "n_total": int(total.sum())}
-    return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("n_distinct", pa.int64()), ("n_total", pa.int64())]))
+    return pa.Table.from_pylist(out, schema=ANSWERED)
+
+
+def passing_on(asked: pa.Table, answered: pa.Table) -> pa.Table:
+    """The answers that a parent got, to those whose blocks it added up."""
+    rows = asked.to_pylist()
+    if not rows:
+        return ANSWERED.empty_table()
+    keys, _, at, _ = summed(rows)
+    total = np.concatenate([unpack(r["counts"], U64) for r in sorted(answered.to_pylist(), key=lambda r: r["prefix"])])
+    return pa.Table.from_pylist(answers_to(rows, keys, at, total), schema=ANSWERED)
+
+
+def counted(chunks: DataFrame, n_chunks: int, n_tokens: int) -> tuple[DataFrame, int]:
+    """(who, kind, prefix, counts): each chunk's answers; and the number of distinct words in training."""
+    ranges, levels = max(1, -(-n_tokens // RANGE)), 1
+    while FAN**levels < ranges:
+        levels += 1
+    fan = 1
+    while fan**levels < ranges:
+        fan += 1
+
+    def parents(level: int) -> Column:
+        return F.pmod(F.xxhash64("who"), F.lit(-(-n_chunks // fan**level))).alias("parent")
+
+    asked = [chunks.mapInArrow(asking(fan), ASKED_SQL)]
+    for level in range(1, levels):
+        asked[-1] = written(asked[-1], "lm-asked")
+        asked.append(asked[-1].select("*", parents(level)).groupBy("kind", "prefix", "parent").applyInArrow(merging(fan ** (level + 1)), ASKED_SQL))
+    answers = written(asked.pop().groupBy("kind", "prefix").applyInArrow(answering, ANSWERED_SQL), "lm-counts")
+    n_words = answers.where("kind = 0").agg(F.sum("n_distinct")).first()[0] or 0
+    while asked:
+        below, at = asked.pop(), parents(len(asked) + 1)
+        up = answers.select("*", F.floor(F.col("prefix") / fan).cast("long").alias("above"))
+        passed = below.select("*", at).groupBy("kind", "prefix", "parent").cogroup(up.groupBy("kind", "above", "who")).applyInArrow(passing_on, ANSWERED_SQL)
+        passed = written(passed, "lm-counts")
+        discard(answers, below)
+        answers = passed
+    return answers, n_words
 
 
 def held_out_histogram(n_train: int, n_docs: int):
@@ -213,12 +278,10 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = written(rows.mapInArrow(chunked, CHUNKS), "lm-chunks")
-    n = chunks.agg(F.sum("n_tokens"), F.sum("n_train"), F.sum("n_train_docs")).first()
-    n_tokens, n_train, n_docs = (x or 0 for x in n)
-    asked = chunks.mapInArrow(asking(max(1, -(-n_tokens // RANGE))), ASKED)
-    answers = written(asked.groupBy("kind", "bucket").applyInArrow(answering, ANSWERED), "lm-counts")
-    n_words = answers.where("kind = 0").agg(F.sum("n_distinct")).first()[0] or 0
-    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    n = chunks.agg(F.sum("n_tokens"), F.sum("n_train"), F.sum("n_train_docs"), F.count("*")).first()
+    n_tokens, n_train, n_docs, n_chunks = (x or 0 for x in n)
+    answers, n_words = counted(chunks, n_chunks, n_tokens)
+    both = chunks.groupBy("chunk").cogroup(answers.groupBy("who"))
     bins = both.applyInArrow(held_out_histogram(n_train, n_docs), "b long, q2 long, q1 long, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()
     weights = weights_by_em(np.stack([bins[c].to_numpy() for c in ("b", "q2", "q1", "n")], axis=1).astype(np.int64).reshape(-1, 4), 1 / (n_words + 1))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

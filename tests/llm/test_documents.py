@@ -90,6 +90,27 @@ def test_interpolation_equals_brute_force(spark, sf, tmp_path):
     assert interpolation.op2_deleted_interpolation(spark, h.empty(spark, tmp_path)).count() == 0
 
 
+def test_interpolation_in_levels(spark, sf, monkeypatch):
+    def run():
+        return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in interpolation.op2_deleted_interpolation(spark, sf).collect()), key=str)
+
+    want = run()
+    asked, real = [], interpolation.written
+
+    def spy(df, label, **options):
+        out = real(df, label, **options)
+        asked.extend([out] if label == "lm-asked" else [])
+        return out
+
+    monkeypatch.setattr(interpolation, "written", spy)
+    monkeypatch.setattr(interpolation, "discard", lambda *frames: None)
+    for name, value in (("CHUNK", 200), ("RANGE", 400), ("FAN", 6)):
+        monkeypatch.setattr(interpolation, name, value)
+    assert run() == want
+    # a chunk asks in FAN ranges of each kind at most, as does a sum of chunks in each of its ranges
+    assert len(asked) >= 2 and all(x.groupBy("kind", "who", F.floor(F.col("prefix") / 6)).count().agg(F.max("count")).first()[0] <= 6 for x in asked)
+
+
 def test_em_finds_the_mixture():
     r = np.random.default_rng(1)
     p = np.array([[-4, -40], [-40, -8], [-16, -16]])
