@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import portions, row_of, sliced, table, worker_cache
 
 #: Distinct chunks of text whose encodings a worker keeps; when full it starts anew.
@@ -310,9 +311,9 @@ def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataF
     return of.mapInArrow(decoding(spec), of.select("_row").schema.add("decoded", "string"))
 
 
-def digests(rows: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, *more: str) -> DataFrame:
     n = (F.octet_length("ids") / 4).cast("long")
-    return rows.select("_row.doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return rows.select("_row.doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *[f"_row.{c}" for c in more])
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,5 +321,6 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's tokens as op5_bpe gives them: doc_id, n_tokens and the digests of ids and decoded text."""
-    return digests(encoded(docs.select("doc_id", "text")))
+    """Each document's tokens as op5_bpe gives them, and its place in the mix: doc_id, n_tokens, the digests of ids and decoded text, slot and place."""
+    rows = digests(encoded(docs.select("doc_id", mixing.identity().alias("_id"), "text")), "_id")
+    return rows.join(mixing.positions(docs), "_id", "left").drop("_id")

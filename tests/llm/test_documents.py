@@ -151,13 +151,51 @@ def test_mixing_keeps_true_weights_over_many_periods(spark):
     for k, v in weights.items():
         had = np.searchsorted(np.array(plan[k]), np.arange(n))
         assert np.abs(had - v / total * np.arange(n)).max() < 1 + 1e-6
-    # and the rows follow it: 3000 blocks, periods of 7 slots
+    # and the rows follow it: 3000 blocks
     docs = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 6 = 0, 'b', 'a') AS source")
     rows = mixing.scheduled(docs, {"a": 5.0, "b": 1.0 + 1e-3}, block=2, period=7).collect()
     slots = sorted({r._slot for r in rows if r._source == "b"})
     assert len(slots) == 500 and max(abs(i - s * 1.001 / 6.001) for i, s in enumerate(slots)) < 1.001
 
 
+def edf_by_brute_force(weights, blocks):
+    """Slot by slot: of all released blocks, the one that is due first."""
+    from fractions import Fraction
+
+    total = sum(map(Fraction, weights.values()))
+    had, out, t = dict.fromkeys(weights, 0), {}, 0
+    while any(had[k] < blocks[k] for k in weights):
+        w = {k: Fraction(weights[k]) / total for k in weights}
+        released = [(math.ceil((had[k] + 1) / w[k]), k) for k in weights if had[k] < blocks[k] and math.floor(had[k] / w[k]) <= t]
+        if released:
+            k = min(released)[1]
+            out[k, had[k]] = t
+            had[k] += 1
+        t += 1
+    return out
+
+
+def test_mixing_equals_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 7)  # many ranges, each dealt by itself
+    docs = spark.range(900).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "CASE WHEN id % 11 = 0 THEN 'b' WHEN id % 3 = 0 THEN NULL ELSE 'a' END AS source", "0L AS n_chars")
+    sf = h.save(docs, tmp_path)
+    rows = mixing.op3_pfair_mixing(spark, sf).collect()
+    n = collections.Counter(r.source or "" for r in rows)
+    want = edf_by_brute_force({k: v**0.5 for k, v in n.items()}, {k: -(-v // mixing.BLOCK) for k, v in n.items()})
+    assert len(rows) == len({r.doc_id for r in rows}) == 900
+    assert {(r.source or "", r.block): r.slot for r in rows} == want
+    assert sorted((r.source or "", r.block, r.place) for r in rows) == sorted((k, i // mixing.BLOCK, i % mixing.BLOCK) for k, v in n.items() for i in range(v))
+
+
+def test_mixing_bears_clashes_and_rows_without_ids(spark):
+    docs = h.clashing(spark)
+    rows = mixing.scheduled(docs, block=2).collect()
+    assert len(rows) == docs.count() and rows[0]._row["a.b"] == 1 and {r._row["_source"] for r in rows} == {"_source"}
+    bare = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'s' AS source")
+    got = mixing.scheduled(bare).collect()
+    assert sorted((r._block, r._place) for r in got) == [(i // mixing.BLOCK, i % mixing.BLOCK) for i in range(5000)]
+
+
 def test_bpe_equals_library(spark, sf):
     from tokenizers import Tokenizer
 

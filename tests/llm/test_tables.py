@@ -7,7 +7,7 @@ import helpers as h
 import numpy as np
 import pytest
 
-from marlspike.llm import topk, warc, wrappers
+from marlspike.llm import mixing, topk, warc, wrappers
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -165,4 +165,7 @@ def test_pipeline(spark, tmp_path):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     rows = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == list(range(12)) and all(r.n_tokens > 50 for r in rows)
+    # the mix: sources of four documents each, one block each, in the order of their deadlines
+    at = mixing.positions(spark.createDataFrame([x for x in docs if x[0] < 12], h.SCHEMA)).collect()
+    assert {(r.doc_id, r.slot, r.place) for r in rows} == {tuple(r) for r in at} and {r.slot for r in rows} == {0, 1, 2}
     assert corpus_pipeline.run(spark, h.empty(spark, tmp_path / "none")).count() == 0
