@@ -129,13 +129,13 @@ def packed(errors: DataFrame) -> DataFrame:
     kind = F.when(F.col("colKind") == "input", 1).otherwise(0).cast("long")
     column = F.when(F.col("colIndex") < (1 << 23), F.col("colIndex").cast("long")).otherwise(F.raise_error(F.lit("the column has no packed form")).cast("long"))
     w1 = F.shiftleft(kind, 31).bitwiseOR(F.shiftleft(column, 8)).bitwiseOR(F.col("code").cast("long"))
-    return errors.select(F.col("row").alias("w0"), w1.alias("w1"))
+    return errors.select(*[c for c in errors.columns if c == "file"], F.col("row").alias("w0"), w1.alias("w1"))
 
 
-def unpacked(words: DataFrame) -> DataFrame:
-    """(row, colIndex, colKind, code) of packed words."""
+def unpacked(words: DataFrame, *keep: str) -> DataFrame:
+    """(row, colIndex, colKind, code) of packed words, after the columns to keep."""
     w = F.col("w1")
     return words.select(
-        F.col("w0").alias("row"), F.shiftright(w, 8).bitwiseAND(F.lit((1 << 23) - 1)).cast("int").alias("colIndex"),
+        *keep, F.col("w0").alias("row"), F.shiftright(w, 8).bitwiseAND(F.lit((1 << 23) - 1)).cast("int").alias("colIndex"),
         F.when(F.shiftright(w, 31).bitwiseAND(F.lit(1)) == 1, "input").otherwise("schema").alias("colKind"), w.bitwiseAND(F.lit(255)).cast("int").alias("code"),
     )

@@ -153,21 +153,24 @@ SQL["errors_top_k"] = f'SELECT * FROM ({_ALL}) ORDER BY row, "colIndex" LIMIT 10
 
 
 def error_pack_unpack(spark, sf_dir):
-    words = ORDERS.result(spark, sf_dir, ORDERS_SCHEMA).packed_errors()
-    back = rules.unpacked(words.select("w0", "w1"))
-    return back.select(F.col("row").alias("w0"), (F.col("colIndex") * 256 + F.col("code")).cast("long").alias("w1"), "colIndex", "code")
+    """The packed words as they are, of faults of both kinds, with what unpacking them gives."""
+    found = [ORDERS.result(spark, sf_dir, ORDERS_SCHEMA), Planted("nation", "n_nationkey", NATION).result(spark, sf_dir, _ID)]
+    words = found[0].packed_errors().union(found[1].packed_errors())
+    return rules.unpacked(words, "w0", "w1").drop("row")
 
 
+NATION = {"id": "CAST(n_nationkey AS STRING)", "name": "n_name", "zzz": "CAST(n_regionkey AS STRING)"}
+_ID = schema_of([{"name": "id", "type": "int", "required": True}], failOnExtraColumns=True)
+_extra = lambda i, name, where="": f"SELECT {oracle.error_row('row', '7', i, 'input', name)} FROM src {where}"
 QUERIES["error_pack_unpack"] = error_pack_unpack
-SQL["error_pack_unpack"] = f'SELECT row AS w0, CAST("colIndex" * 256 + code AS BIGINT) AS w1, "colIndex", code FROM ({_ALL})'
+_FOUND_NATION = oracle.errors(Planted("nation", "n_nationkey", NATION).sql(), _ID, {"id": '"id"'}, [_extra(1, "name"), _extra(2, "zzz")])
+SQL["error_pack_unpack"] = f"""SELECT row AS w0, CAST(CASE "colKind" WHEN 'input' THEN 2147483648 ELSE 0 END + "colIndex" * 256 + code AS BIGINT) AS w1, "colIndex", "colKind", code
+ FROM (SELECT row, code, "colIndex", "colKind" FROM ({_ALL}) UNION ALL SELECT row, code, "colIndex", "colKind" FROM ({_FOUND_NATION}))"""
 QUERIES["progress_counts"] = lambda spark, sf_dir: ORDERS.result(spark, sf_dir, ORDERS_SCHEMA).progress()
 SQL["progress_counts"] = f'SELECT (SELECT count(*) FROM orders) AS "rowsProcessed", (SELECT count(*) FROM ({_ALL})) AS "errorsAdded", true AS done'
 
 # --- structure --------------------------------------------------------------------------------------
 
-NATION = {"id": "CAST(n_nationkey AS STRING)", "name": "n_name", "zzz": "CAST(n_regionkey AS STRING)"}
-_ID = schema_of([{"name": "id", "type": "int", "required": True}], failOnExtraColumns=True)
-_extra = lambda i, name, where="": f"SELECT {oracle.error_row('row', '7', i, 'input', name)} FROM src {where}"
 errors_query("extra_columns", Planted("nation", "n_nationkey", NATION), _ID, [_extra(1, "name"), _extra(2, "zzz")])
 errors_query("missing_required_columns", Planted("nation", "n_nationkey", {"id": "CAST(n_nationkey AS STRING)"}),
              schema_of([{"name": "id", "type": "int"}, {"name": "name", "type": "string", "required": True}, {"name": "code", "type": "int", "required": True}, {"name": "note", "type": "string"}]),
@@ -272,6 +275,52 @@ QUERIES["utf8_invalid_cells"] = utf8_invalid_cells
 SQL["utf8_invalid_cells"] = f"WITH src AS (SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS row, CASE WHEN n_nationkey % 5 = 0 THEN 5 ELSE 4 END AS code FROM nation) SELECT {oracle.error_row('row', 'code', 1, 'schema', 'n')} FROM src"
 
 
+# --- bytes: what text cannot hold, and how files end --------------------------------------------------
+
+
+def _nation_file(spark, sf_dir, header: bytes, line, last: bytes = b"\n") -> str:
+    """The fixed table of nations in key order as a file: line(key, name) are a record's bytes, without a line end after the last if last is empty."""
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    return bytes_file(spark, header + b"\n".join(line(r[0], r[1].encode()) for r in rows) + last)
+
+
+_KN = [{"name": "k", "type": "int"}, {"name": "n", "type": "string"}]
+_NATION_ROWS = "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS row, n_nationkey AS key, n_name AS name FROM nation"
+QUERIES["csv_no_final_line_end"] = lambda spark, sf_dir: Validator(schema_of(_KN)).file(spark, _nation_file(spark, sf_dir, b"k,n\n", lambda k, n: b'%d,"%s"' % (k, n), b"")).normalized()
+SQL["csv_no_final_line_end"] = f"SELECT row, key::VARCHAR AS k, name AS n FROM ({_NATION_ROWS})"
+QUERIES["duplicate_schema_name"] = lambda spark, sf_dir: Validator(schema_of([*_KN, {"name": "k", "type": "int"}])).file(spark, _nation_file(spark, sf_dir, b"k,n\n", lambda k, n: b"%d,%s" % (k, n))).normalized()
+SQL["duplicate_schema_name"] = f"SELECT row, key::VARCHAR AS k, name AS n, '' AS k_2 FROM ({_NATION_ROWS})"
+QUERIES["header_not_utf8"] = lambda spark, sf_dir: Validator(schema_of([*_KN, {"name": "m", "type": "int", "required": True}])).file(spark, _nation_file(spark, sf_dir, b"k,\xff,n\n", lambda k, n: b"%d,x,%s" % (k, n) if k % 2 else b"y,x,%s" % n)).errors().select(*OUT)
+SQL["header_not_utf8"] = (
+    f"WITH src AS ({_NATION_ROWS}) SELECT {oracle.error_row('0', '5', 0, 'schema', 'k')} UNION ALL SELECT {oracle.error_row('0', '6', 2, 'schema', 'm')} "
+    f"UNION ALL SELECT {oracle.error_row('row', '2', 0, 'schema', 'k')} FROM src WHERE key % 2 = 0"
+)
+QUERIES["empty_file"] = lambda spark, sf_dir: Validator(schema_of([{"name": "k", "type": "int", "required": True}])).file(spark, bytes_file(spark, b"")).progress()
+SQL["empty_file"] = 'SELECT 0::BIGINT AS "rowsProcessed", 0::BIGINT AS "errorsAdded", true AS done'
+QUERIES["normalize_not_utf8"] = lambda spark, sf_dir: Validator(schema_of(_KN)).file(spark, _nation_file(spark, sf_dir, b"k,n\n", lambda k, n: b"%d,%s" % (k, b"\xc3" + n if k % 3 == 0 else n))).normalized()
+SQL["normalize_not_utf8"] = f"SELECT row, key::VARCHAR AS k, CASE WHEN key % 3 = 0 THEN '' ELSE name END AS n FROM ({_NATION_ROWS})"
+QUERIES["normalize_absent_cell"] = lambda spark, sf_dir: Validator(schema_of(_KN, hasHeaders=False)).file(spark, _nation_file(spark, sf_dir, b"", lambda k, n: b"%d,%s" % (k, n) if k % 2 else b"%d" % k)).normalized()
+SQL["normalize_absent_cell"] = f"SELECT row, key::VARCHAR AS k, CASE WHEN key % 2 = 0 THEN '' ELSE name END AS n FROM ({_NATION_ROWS})"
+
+
+def folder_progress(spark, sf_dir):
+    """Three files of a folder, one of them without a column that is required: counts of each."""
+    base = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    fs, inner = filesystem(base)
+    fs.create_dir(inner, recursive=True)
+    rows = [r[0] for r in read(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").collect()]
+    for i in range(3):
+        with fs.open_output_stream(f"{inner}/f{i}.csv", compression=None) as out:
+            out.write(("n\n" if i else "other\n").encode() + "".join(x + "\n" for x in rows[i::3]).encode())
+    found = Validator(schema_of([{"name": "n", "type": "string", "required": True, "allowed": ["FRANCE", "CHINA"]}])).files(spark, base).progress()
+    return found.select(F.substring_index("file", "/", -1).alias("file"), "rowsProcessed", "errorsAdded", "done")
+
+
+QUERIES["folder_progress"] = folder_progress
+SQL["folder_progress"] = """SELECT 'f' || (rn % 3) || '.csv' AS file, count(*) AS "rowsProcessed", CAST(CASE WHEN rn % 3 = 0 THEN 1 ELSE count_if(n_name NOT IN ('FRANCE', 'CHINA')) END AS BIGINT) AS "errorsAdded", true AS done
+ FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS rn FROM nation) GROUP BY rn % 3"""
+
+
 def normalized_lines(spark, sf_dir):
     return ORDERS.result(spark, sf_dir, ORDERS_SCHEMA).lines()
 

@@ -19,10 +19,11 @@ MAX_ERRORS = 10_000
 
 class Result:
     """What a validation found. records has row, c0, c1, ... (trimmed text of each input position, NULL where
-    absent) and, where records differ in width, width."""
+    absent) and, where records differ in width, width; for records of several files of one header, file as well."""
 
-    def __init__(self, schema: SchemaSpec, binding: Binding, records: DataFrame, n_inputs: int, ragged: bool):
-        self.schema, self.binding, self.records, self.n_inputs, self.ragged = schema, binding, records, n_inputs, ragged
+    def __init__(self, schema: SchemaSpec, binding: Binding, records: DataFrame, n_inputs: int, ragged: bool, files: list[str] | None = None):
+        self.schema, self.binding, self.records, self.n_inputs, self.ragged, self.files = schema, binding, records, n_inputs, ragged, files
+        self.keys = ["row"] if files is None else ["file", "row"]
 
     @property
     def schema_columns(self) -> list[str]:
@@ -36,18 +37,20 @@ class Result:
     def _cell(self, i: int) -> Column:
         return F.col(f"c{i}") if i < self.n_inputs else F.lit(None).cast("string")
 
+    def _found(self) -> DataFrame:
+        """The keys and the array of a record's faults: one column of one scan."""
+        return self.records.select(*self.keys, rules.findings(self.schema, self.binding, self._cell, F.col("width") if self.ragged else None).alias("found"))
+
     def _raw_errors(self) -> DataFrame:
-        found = rules.findings(self.schema, self.binding, self._cell, F.col("width") if self.ragged else None)
-        # the array is one column of one scan: each rule is evaluated once
-        of = self.records.select("row", found.alias("found")).select("row", F.inline("found"))
-        return rules.header_errors(of, self.binding).unionByName(of) if self.binding.faults else of
+        of = self._found().select(*self.keys, F.inline("found"))
+        return rules.header_errors(of, self.binding, self.files).unionByName(of) if self.binding.faults else of
 
     def errors(self, max_errors: int | None = None) -> DataFrame:
         """row, code, codeString, colIndex, colKind, columnName, message, and seq: errors stand in the order (row, seq), row 0 is the
         header. With max_errors, the first so many in that order; the normalised rows are not affected."""
         raw = self._raw_errors()
         if max_errors is not None:
-            raw = raw.orderBy("row", "seq").limit(max_errors)
+            raw = raw.orderBy(*self.keys, "seq").limit(max_errors)
         return rules.decoded(raw, self.schema, self.binding)
 
     def packed_errors(self, max_errors: int | None = None) -> DataFrame:
@@ -59,21 +62,21 @@ class Result:
 
     def normalized(self) -> DataFrame:
         """row and the schema's columns as normalised text; every row, faulty or not. A name that comes again gets its place added."""
-        return self.records.select("row", *[x.alias(n) for x, n in zip(self._normal_cells(), self._unique())])
+        return self.records.select(*self.keys, *[x.alias(n) for x, n in zip(self._normal_cells(), self._unique())])
 
     def typed(self) -> DataFrame:
         """As normalized(), with decimals and dates as such, NULL where they are none."""
         cells = [rules.typed(x, c).alias(n) for x, c, n in zip(self._normal_cells(), self.schema.columns, self._unique())]
-        return self.records.select("row", *cells)
+        return self.records.select(*self.keys, *cells)
 
     def _unique(self) -> list[str]:
         names = self.schema.names
-        return [n if n not in names[:i] and n.lower() != "row" else f"{n}_{i}" for i, n in enumerate(names)]
+        return [n if n not in names[:i] and n.lower() not in self.keys else f"{n}_{i}" for i, n in enumerate(names)]
 
     def lines(self) -> DataFrame:
         """row and line: the normalised row as delimited text. Without schema columns there is nothing to write."""
-        cells = self.records.select("row", *[x.alias(f"n{i}") for i, x in enumerate(self._normal_cells())])
-        rows = cells.select("row", delimited.rendered([F.col(f"n{i}") for i in range(len(self.schema.columns))], self.schema.delimiter).alias("line"))
+        cells = self.records.select(*self.keys, *[x.alias(f"n{i}") for i, x in enumerate(self._normal_cells())])
+        rows = cells.select(*self.keys, delimited.rendered([F.col(f"n{i}") for i in range(len(self.schema.columns))], self.schema.delimiter).alias("line"))
         return rows if self.schema.columns else rows.limit(0)
 
     def write_normalized(self, path: str, one_file: bool = False) -> None:
@@ -82,9 +85,8 @@ class Result:
 
     def progress(self) -> DataFrame:
         """One row: rowsProcessed, errorsAdded (all errors, capped or not), done; from one scan."""
-        found = rules.findings(self.schema, self.binding, self._cell, F.col("width") if self.ragged else None)
         errors = F.coalesce(F.sum(F.size("found").cast("long")), F.lit(0)) + len(self.binding.faults)
-        return self.records.select(found.alias("found")).agg(F.count("*").alias("rowsProcessed"), errors.alias("errorsAdded")).withColumn("done", F.lit(True))
+        return self._found().agg(F.count("*").alias("rowsProcessed"), errors.alias("errorsAdded")).withColumn("done", F.lit(True))
 
 
 class Validator:
@@ -134,48 +136,66 @@ class Validator:
 
 
 class FileResults:
-    """Results over several files, told apart by the column file. Files of one header are one scan."""
+    """Results over several files, told apart by the column file, each as if it were validated alone. Files of one header are
+    one scan; no files give frames without rows."""
 
     def __init__(self, validator: Validator, spark: SparkSession, files: list[str]):
-        self.validator, self.spark = validator, spark
         schema = validator.schema
+        self.validator, self.spark, self.schema_columns = validator, spark, schema.names
         headers: dict[tuple | None, list[str]] = {}
-        for f in files:
-            header = delimited.first_record(f, schema.delimiter) if schema.has_headers else ()
-            headers.setdefault(None if header is None else tuple(header), []).append(f)
-        self.parts = []
-        for header, group in headers.items():
-            rows = delimited.read_exact(spark, group, schema.delimiter, int(schema.has_headers))
+        for f, header in delimited.first_records(spark, files, schema.delimiter) if schema.has_headers else [(f, ()) for f in files]:
+            headers.setdefault(header, []).append(f)
+        self.parts: list[Result] = []
+        for header, group in headers.items() or [(None, [])]:
+            if group:
+                rows = delimited.read_exact(spark, group, schema.delimiter, int(schema.has_headers))
+            else:
+                rows = spark.createDataFrame([], "file string, row long, fields array<string>")
             result = validator.records(rows, None if header is None else list(header))
-            binding = result.binding
             cells = [trimmed(F.get("fields", F.lit(i))).alias(f"c{i}") for i in range(result.n_inputs)]
-            result.records = rows.select("file", "row", F.size("fields").alias("width"), *cells)
-            self.parts.append((result, group, binding))
+            records = rows.select("file", "row", F.size("fields").alias("width"), *cells)
+            self.parts.append(Result(schema, result.binding, records, result.n_inputs, True, group))
 
-    def errors(self) -> DataFrame:
+    def _all(self, frame: Callable[[Result], DataFrame]) -> DataFrame:
         out = None
-        for r, group, binding in self.parts:
-            found = rules.findings(r.schema, binding, r._cell, F.col("width"))
-            raw = r.records.select("file", "row", found.alias("found")).select("file", "row", F.inline("found"))
-            if binding.faults:
-                raw = raw.unionByName(rules.header_errors(raw, binding, group))
-            part = rules.decoded(raw, r.schema, binding)
-            out = part if out is None else out.unionByName(part)
+        for r in self.parts:
+            out = frame(r) if out is None else out.unionByName(frame(r))
         return out
 
+    def errors(self, max_errors: int | None = None) -> DataFrame:
+        """As Result.errors(), in the order (file, row, seq), with file."""
+        out = self._all(lambda r: r.errors(max_errors))
+        return out if max_errors is None else out.orderBy("file", "row", "seq").limit(max_errors)
+
+    def packed_errors(self, max_errors: int | None = None) -> DataFrame:
+        return rules.packed(self.errors(max_errors))
+
     def normalized(self) -> DataFrame:
-        out = None
-        for r, _, _ in self.parts:
-            part = r.records.select("file", "row", *[x.alias(n) for x, n in zip(r._normal_cells(), r._unique())])
-            out = part if out is None else out.unionByName(part)
-        return out
+        return self._all(Result.normalized)
+
+    def typed(self) -> DataFrame:
+        return self._all(Result.typed)
+
+    def lines(self) -> DataFrame:
+        return self._all(Result.lines)
+
+    def write_normalized(self, path: str, one_file: bool = False) -> None:
+        """As Result.write_normalized(), in the order (file, row)."""
+        delimited.write_lines(self.lines().orderBy("file", "row"), path, one_file)
 
     def rows(self) -> DataFrame:
-        out = None
-        for r, _, _ in self.parts:
-            part = r.records.select("file", "row")
-            out = part if out is None else out.unionByName(part)
-        return out
+        return self._all(lambda r: r.records.select("file", "row"))
+
+    def progress(self) -> DataFrame:
+        """For each file with rows or faults: file, rowsProcessed, errorsAdded, done; from one scan."""
+
+        def part(r: Result) -> DataFrame:
+            rows = r._found().select("file", F.lit(1).alias("n"), F.size("found").alias("errors"))
+            if r.binding.faults:
+                rows = rows.union(self.spark.createDataFrame([(f, 0, len(r.binding.faults)) for f in r.files], "file string, n int, errors int"))
+            return rows
+
+        return self._all(part).groupBy("file").agg(F.sum("n").alias("rowsProcessed"), F.sum("errors").alias("errorsAdded")).withColumn("done", F.lit(True))
 
 
 class Client:
@@ -204,11 +224,16 @@ class Client:
         if held:
             yield held
 
-    def validate(self, path: str) -> Result | None:
-        """Runs a file's validation to its end; None after a failure that on_fatal was told of."""
+    def validate(self, source: str | DataFrame, row: Column | str | None = None, cells: dict[str, Column] | list[Column] | None = None) -> Result | None:
+        """Runs the validation of a file, or of a table as Validator.table() takes it (by default with all columns as cells but the
+        one that row names), to its end; None after a failure that on_fatal was told of."""
         self.spark.sparkContext.setJobGroup(self.group, "validation", interruptOnCancel=True)
         try:
-            result = self.validator.file(self.spark, path)
+            if isinstance(source, DataFrame):
+                named = {c: F.col(f"`{c}`") for c in source.columns if c != row}
+                result = self.validator.table(source, row, cells or (named if self.validator.schema.has_headers else list(named.values())))
+            else:
+                result = self.validator.file(self.spark, source)
             self._tell("progress", result.progress().first().asDict())
             if self.on["errors"]:
                 for part in self._batches(result.errors(self.max_errors).orderBy("row", "seq").toLocalIterator()):

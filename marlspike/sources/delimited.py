@@ -2,13 +2,15 @@
 
 The exact source reads any file system that pyarrow reaches, one partition for each file, and yields
 records as arrays of bytes with their number: quotes only at the start of a field, doubled quotes,
-line ends of any kind, blank lines skipped, bytes kept as they are. Memory is one batch of records.
+line ends of any kind, blank lines skipped, bytes kept as they are. Memory is one batch of records, of
+BATCH_BYTES or one record at most.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import json
 import sys
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..storage import filesystem
 
-BATCH = 8192
+BATCH, BATCH_BYTES = 8192, 8_000_000
 RECORDS = pa.schema([("file", pa.string()), ("row", pa.int64()), ("fields", pa.list_(pa.binary()))])
 
 
@@ -53,6 +55,21 @@ def first_record(path: str, delimiter: bytes) -> list[bytes] | None:
         return next(raw_records(stream, delimiter), None)
 
 
+def first_records(spark: SparkSession, files: list[str], delimiter: bytes) -> list[tuple[str, tuple[bytes, ...] | None]]:
+    """The first record of each file, read by tasks: a header for each file comes to the driver, which lists the files as well."""
+
+    def f(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([first_record(x, delimiter) for x in names], pa.list_(pa.binary()))], names=["file", "fields"])
+
+    if not files:
+        return []
+    rows = spark.createDataFrame([(x,) for x in files], "file string").repartition(min(len(files), 2 * spark.sparkContext.defaultParallelism))
+    found = {r.file: r.fields for r in rows.mapInArrow(f, "file string, fields array<binary>").collect()}
+    return [(x, None if found[x] is None else tuple(bytes(y) for y in found[x])) for x in files]
+
+
 class File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -60,7 +77,7 @@ class File(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.files = options["files"].split("\n")
+        self.files = json.loads(options["files"])
         self.delimiter = bytes([int(options.get("delimiter", "44"))])
         self.skip = int(options.get("skip", "0"))
 
@@ -71,12 +88,13 @@ class Reader(DataSourceReader):
         fs, inner = filesystem(partition.path)
         with fs.open_input_stream(inner, compression=None) as stream:
             held: list[list[bytes]] = []
-            row = 1 - self.skip
+            row, size = 1 - self.skip, 0
             for record in raw_records(stream, self.delimiter):
                 held.append(record)
-                if len(held) == BATCH:
+                size += sum(map(len, record))
+                if len(held) == BATCH or size >= BATCH_BYTES:
                     yield self.batch(partition.path, row, held)
-                    row, held = row + len(held), []
+                    row, held, size = row + len(held), [], 0
             if held:
                 yield self.batch(partition.path, row, held)
 
@@ -87,7 +105,7 @@ class Reader(DataSourceReader):
 
 
 class ExactDelimited(DataSource):
-    """Options: files (one path a line), delimiter (its byte as a number), skip (records before row 1 of each file)."""
+    """Options: files (their paths as JSON), delimiter (its byte as a number), skip (records before row 1 of each file)."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,7 +121,7 @@ class ExactDelimited(DataSource):
 def read_exact(spark: SparkSession, files: list[str], delimiter: bytes = b",", skip: int = 0) -> DataFrame:
     """(file, row, fields) of the records of all files; row counts from 1 in each, after the skipped ones. A field is the text of its bytes, UTF-8 or not."""
     spark.dataSource.register(ExactDelimited)
-    rows = spark.read.format(ExactDelimited.name()).option("files", "\n".join(files)).option("delimiter", str(delimiter[0])).option("skip", str(skip)).load()
+    rows = spark.read.format(ExactDelimited.name()).option("files", json.dumps(files)).option("delimiter", str(delimiter[0])).option("skip", str(skip)).load()
     return rows.select("file", "row", F.transform("fields", lambda x: x.cast("string")).alias("fields"))
 
 
@@ -121,8 +139,11 @@ def read_splittable(spark: SparkSession, path: str, delimiter: bytes = b",", has
     for i in range(max(sizes, default=0) + 1):
         before.append(n)
         n += sizes.get(i, 0)
-    starts = F.lit(before).cast("array<long>")
-    row = F.element_at(starts, part + 1) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, counted = F.lit(before).cast("array<long>"), F.lit([sizes.get(i, 0) for i in range(len(before))]).cast("array<long>")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # splits other than those that were counted give a place beyond the count somewhere
+    known = F.coalesce(place < F.get(counted, part), F.lit(False))
+    row = F.when(known, F.get(starts, part) + place).otherwise(F.raise_error(F.lit("the file was split otherwise than when its lines were counted")).cast("long"))
     numbered = lines.select(row.alias("row"), "value")
     odd = F.col("value").contains('"') | ~F.is_valid_utf8("value")
     value = F.when(odd, F.raise_error(F.lit("the file has quotes or bytes that are not UTF-8: read it with the exact source"))).otherwise(F.col("value"))

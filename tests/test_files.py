@@ -100,6 +100,11 @@ def test_folder_and_stream(spark, tmp_path):
         (folder / f"f{i}.csv").write_bytes(F1 if i else b"id,amount\n1,2\n")
     found = Validator(DEMO).files(spark, str(folder))
     assert found.rows().count() == 11 and found.errors().count() == 2 * 6 + 2
+    first = found.errors(3).orderBy("file", "row", "seq").collect()
+    assert [(r.file[-6:], r.row, r.code) for r in first] == [("f0.csv", 0, 6), ("f0.csv", 0, 6), ("f1.csv", 3, 2)] and found.errors(0).count() == 0
+    assert {(r.file[-6:], r.rowsProcessed, r.errorsAdded) for r in found.progress().collect()} == {("f0.csv", 1, 2), ("f1.csv", 5, 6), ("f2.csv", 5, 6)}
+    assert found.packed_errors().where("w0 = 0").count() == 2 and found.lines().where("file LIKE '%f1.csv'").count() == 5
+    assert found.typed().select("amount").schema[0].dataType.simpleString() == "decimal(38,2)"
     query = validate_stream(spark, DEMO, str(folder), str(tmp_path / "e"), str(tmp_path / "n"), str(tmp_path / "c"), available_now=True)
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "e")).count() == 14 and spark.read.parquet(str(tmp_path / "n")).count() == 11
@@ -112,3 +117,28 @@ def test_written_lines_read_back(spark, tmp_path):
     Validator(schema).table(df, "row", [df.a, df.b]).write_normalized(str(tmp_path / "out"), one_file=True)
     back = Validator(schema).files(spark, str(tmp_path / "out")).normalized().orderBy("row").collect()
     assert [(r.a, r.b) for r in back] == [('q"uo,te', "l1\nl2"), ("", "#c"), ("", "é"), ("", "x")]
+
+
+def test_folder_without_files(spark, tmp_path):
+    found = Validator(DEMO).files(spark, str(tmp_path))
+    for frame in (found.errors(), found.errors(5), found.packed_errors(), found.normalized(), found.typed(), found.lines(), found.rows(), found.progress()):
+        assert frame.count() == 0 and "file" in frame.columns
+
+
+def test_batches_of_large_records_and_odd_names(spark, tmp_path, monkeypatch):
+    from marlspike.sources import delimited
+
+    monkeypatch.setattr(delimited, "BATCH_BYTES", 100)
+    folder = tmp_path / "a\nb"
+    folder.mkdir()
+    (folder / "input.csv").write_bytes(b"id,v\n" + b"".join(b"%d,%s\n" % (i, b"x" * i) for i in range(60)))
+    parts = list(delimited.Reader({"files": f'["{tmp_path}/a\\nb/input.csv"]', "skip": "1"}).read(delimited.File(f"{tmp_path}/a\nb/input.csv")))
+    assert len(parts) > 10 and sum(p.num_rows for p in parts) == 60
+    assert Validator(TWICE).files(spark, str(folder)).rows().agg({"row": "max"}).first()[0] == 60
+
+
+def test_client_validates_tables(spark):
+    seen = []
+    df = spark.createDataFrame([(1, "1", "x"), (2, "b", "y")], "n long, id string, v string")
+    result = create_validator(spark, TWICE, on_errors=seen.append, on_done=lambda: seen.append("done")).validate(df, row="n")
+    assert [e["row"] for e in seen[0]] == [2] and seen[1] == "done" and result.input_columns == ["id", "v"]
