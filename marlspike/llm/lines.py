@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_of, shared_dir, table
+from .common import row_of, shared_dir, sliced, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = b" \t\n\x0b\x0c\r"
@@ -33,7 +33,7 @@ def line_hashes(min_chars: int):
 
     def f(batches):
         schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("n_lines", pa.int32()), ("at", pa.int32())])
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             cols: list[list] = [[], [], [], [], [], []]
             for doc, text, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 lines = (text or "").encode().split(b"\n")
@@ -165,7 +165,7 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
 def kept_lines(batches):
     """Adds kept_text and n_lines, n_dropped, from the last two columns text and keep."""
-    for batch in batches:
+    for batch in sliced(batches, "_text"):
         out: list[list] = [[], [], []]
         k = batch.num_columns
         for text, keep in zip(batch.column(k - 2).to_pylist(), batch.column(k - 1).to_pylist()):

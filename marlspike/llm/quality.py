@@ -52,7 +52,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     one. n_repeat_words: words in three-word windows that occur twice or more in the text. Windows are
     compared by 64-bit hashes. The measurements replace columns of the same names.
     """
-    kept = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    # the row is one struct, so that no column of it clashes with what is computed beside it
+    kept = docs.select(row_of(docs), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text"))
     trimmed = F.btrim("_text", F.lit(SPACES))
     rows = kept.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     rows = rows.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long")})
@@ -76,7 +77,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_capitals": F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long"),
     }
     # one row of a generator: a filter on a measurement stays above it, where pushed down it would repeat all that is measured, many times over
-    return rows.select(*[f"`{c}`" for c in docs.columns if c not in found], F.stack(F.lit(1), *found.values()).alias(*found))
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in found], F.stack(F.lit(1), *found.values()).alias(*found))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ count; readers read only these.
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import io
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import filesystem
-from .common import shared_dir, table
+from .common import shared_dir, sliced, table
 
 #: Compressed bytes at which a file is closed; the date in all headers; the manifest's name.
 FILE_BYTES, DATE, MANIFEST = 256 << 20, "2000-01-01T00:00:00Z", "manifest.json"
@@ -37,21 +38,23 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(key, kind: str) -> str:
-    return f"<urn:marlspike:{'null' if key is None else key}:{kind}>"
+def record_id(key, digest: str, nth: int, kind: str) -> str:
+    """Unique: rows that repeat a key and a payload are numbered."""
+    return f"<urn:marlspike:{'null' if key is None else key}:{digest}:{nth}:{kind}>"
 
 
-def record(key, url: str, payload: bytes, refers_to) -> bytes:
-    """One record as a gzip member: a response, or a revisit of the record that refers_to (a one-element tuple) names."""
+def record(key, url: str, payload: bytes, refers_to, nth: int = 0) -> bytes:
+    """One record as a gzip member: a response, or a revisit of the first record that refers_to (a one-element tuple, its key) names."""
+    digest = base32_sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     kind, block = ("response", http + payload) if refers_to is None else ("revisit", http)
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key, kind)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"X-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key, digest, nth, kind)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[5:5] = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to[0], 'response')}"]
+        head[5:5] = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to[0], digest, 0, 'response')}"]
     out = io.BytesIO()
     with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0, filename="") as z:
         z.write("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
@@ -70,7 +73,7 @@ def writing(folder: str, file_bytes: int):
         fs, path = filesystem(folder)
         task = TaskContext.get()
         shard, attempt = task.partitionId(), task.taskAttemptId()
-        out, held, notes = None, object(), {}
+        out, held, notes, seen = None, object(), {}, {}
         made: list[tuple[str, int, int]] = []
 
         def close():
@@ -82,15 +85,16 @@ def writing(folder: str, file_bytes: int):
                 made.append((name, n, size))
                 out = None
 
-        for batch in batches:
+        for batch in sliced(batches, "html"):
             for key, is_record, digest, refers_to, url, html in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if key != held:
-                    held, notes = key, {}
+                    held, notes, seen = key, {}, {}
                 if not is_record:
                     notes[digest] = refers_to
                     continue
                 payload = (html or "").encode()
-                member = record(key, safe_url(url), payload, (notes[digest],) if digest in notes else None)
+                member = record(key, safe_url(url), payload, (notes[digest],) if digest in notes else None, seen.get(digest, 0))
+                seen[digest] = seen.get(digest, 0) + 1
                 if out is None:
                     name = f"part-{shard:05d}-{len(made):05d}.warc.gz"
                     out = [fs.open_output_stream(f"{path}/.tmp-{attempt}-{name}", compression=None), name, 0, 0]
@@ -120,6 +124,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     others revisit it; null keys are below all others and come first, and if all keys are null all are
     responses. A null payload or URL is empty. Rows that repeat a key and a payload are records alike.
     """
+    from pyarrow.fs import FileSelector
+
     shared_dir(pages.sparkSession)
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
@@ -128,6 +134,10 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     records = pages.select(F.col(key).cast("long").alias("key"), F.lit(True).alias("is_record"), F.sha1(F.encode(text, "utf-8")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.col(url).cast("string").alias("url"), text.alias("html"))
     by_key = notes.union(records).repartitionByRange("key").sortWithinPartitions("key", "is_record", "digest", "url")
     files = by_key.mapInArrow(writing(folder, file_bytes), "name string, records long, bytes long").toArrow().to_pylist()
+    for left in fs.get_file_info(FileSelector(path)):  # of attempts that failed
+        if left.base_name.startswith(".tmp-"):
+            with contextlib.suppress(FileNotFoundError):
+                fs.delete_file(left.path)
     manifest = {"files": sorted(files, key=lambda x: x["name"])}
     with fs.open_output_stream(f"{path}/.tmp-{MANIFEST}", compression=None) as out:
         out.write(json.dumps(manifest, indent=1).encode())

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_of, table, written
+from .common import row_of, sliced, table, written
 
 #: Elements that hold no text of their own block; all unknown elements are blocks' insides too.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -38,6 +38,8 @@ AROUND_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("article articlebody post postbody entry story".split())
 MAIN_NAMES = frozenset("main content maincontent".split())
+#: Elements that are menus where they hold nothing but links.
+CONTAINERS = frozenset("div section ul ol dl table".split())
 #: Levels and neighbours of a wrapper; pages are read at any depth.
 DEPTH, WIDE = 60, 200
 
@@ -247,7 +249,7 @@ def folding(batches):
     """(host, wrapper, pages) of each host in this task's pages; the wrapper does not count them, so that equal ones are one."""
     found: dict[str | None, list] = {}
     seen: set = set()
-    for batch in batches:
+    for batch in sliced(batches, "html"):
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = skeleton(page or "")
             key = (host, packed(own))
@@ -290,11 +292,12 @@ class Roles:
     (3 within an article, 2 within main, 1 within content, 0 else).
 
     With template, all pages of the host have the element, with the same text, in one whose text differs: it stands around the
-    article unless its name says it is one. Elsewhere names decide."""
+    article unless its name says it is one. So does a container whose text is that of links alone on each of PAGES pages and
+    more. Elsewhere names decide."""
 
     __slots__ = ("children", "around", "level")
 
-    def __init__(self, node: list | None, parent: "Roles | None" = None, template: bool = False, fixed: bool = False):
+    def __init__(self, node: list | None, parent: "Roles | None" = None, template: bool = False, fixed: bool = False, many: bool = False):
         name = node[0] if node else ""
         tag, *names = name.split(" ")
         level = parent.level if parent else 0
@@ -315,6 +318,8 @@ class Roles:
             around = tag in AROUND_TAGS or (named and inner and not article and not main) or (tag == "header" and level < 3)
             if node and level == 0 and tag in ("ul", "ol") and not node[2]:  # only links, on all pages of the host
                 around = True
+            if many and tag in CONTAINERS and level < 3 and not article and not main and node[4] and not node[2]:
+                around = True
             if template and inner and not article and not main and tag != "article":
                 around = True
             if tag == "article" or (article and tag in ("div", "section")):
@@ -324,14 +329,14 @@ class Roles:
         self.around, self.level = around, level
         self.children: dict[str, Roles] = {}
         if parent is None:
-            fixed = bool(node) and node[5] >= PAGES
+            fixed = many = bool(node) and node[5] >= PAGES
         each = [(y, x[1] in "1+" and y[1] in "1+") for x in (node[3] if node else ()) for y in (x[3] if x[0] == "()" else [x])]
         # elements of one label cannot be told apart in a page: all are constant or none
         moving = {y[0] for y, always in each if not always or y[4] in (SLOT, 0)}
         differs = fixed and node[4] == SLOT
         for y, always in each:
             if y[0] not in self.children:
-                self.children[y[0]] = Roles(y, self, differs and y[0] not in moving, fixed and always)
+                self.children[y[0]] = Roles(y, self, differs and y[0] not in moving, fixed and always, many)
 
 
 def main_text(page: str, roles: Roles) -> str:
@@ -368,7 +373,7 @@ def main_text(page: str, roles: Roles) -> str:
 def extracting(batches):
     """Replaces the last two columns, html and wrapper, by text."""
     known: dict[str | None, Roles] = {}
-    for batch in batches:
+    for batch in sliced(batches, "_html"):
         k = batch.num_columns - 2
         out = []
         for page, w in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()):

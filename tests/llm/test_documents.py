@@ -47,6 +47,14 @@ def test_quality_repeat_counts(spark):
     assert {x.doc_id: x.n_repeat_words for x in quality.ledger(df).collect()} == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_quality_keeps_columns_named_like_its_own(spark):
+    docs = h.clashing(spark).withColumns({n: F.lit(n) for n in ("_words", "_windows", "_starts", "_lines")})
+    got = quality.ledger(docs)
+    assert set(docs.columns) <= set(got.columns) and got.where("_words != '_words' OR _text != '_text' OR _windows != '_windows' OR _lines != '_lines' OR `a.b` != 1").count() == 0
+    want = {(r.doc_id, r.n_words, r.n_repeat_words) for r in quality.ledger(h.documents(spark)).collect()}
+    assert {(r.doc_id, r.n_words, r.n_repeat_words) for r in got.collect()} == want
+
+
 def test_policies_and_ablation(spark, sf):
     rows = quality.ledger(spark.read.parquet(f"{sf}/documents.parquet"))
     bits = [r.fail_bits for r in rows.collect()]

@@ -82,6 +82,9 @@ def test_archives_equal_sql_and_round_trip(spark, tmp_path):
     back = warc.read_archives(spark, folders[0], with_html=True).where("record_type = 'response'").collect()
     want = {(r[0], r[2] or "") for r in rows}
     assert {(r.key, r.html) for r in back} <= want and {r.html for r in back} == {x for _, x in want}
+    heads = [x for f in made[0]["files"] for x, _ in warc.records_of(io.BytesIO((tmp_path / "a" / f["name"]).read_bytes()))]
+    ids = [x["WARC-Record-ID"] for x in heads]
+    assert len(set(ids)) == len(ids) == len(rows) and {x["WARC-Refers-To"] for x in heads if x["WARC-Type"] == "revisit"} <= {x["WARC-Record-ID"] for x in heads if x["WARC-Type"] == "response"}
     nulls = spark.createDataFrame([(None, "u", "same"), (None, "u", "same"), (3, "u", "other")], PAGE)
     warc.write_archives(nulls, f"file://{tmp_path}/n")
     assert sorted(r.record_type for r in warc.read_archives(spark, f"file://{tmp_path}/n").collect()) == ["response"] * 3
@@ -156,6 +159,46 @@ def test_text_that_all_pages_of_a_host_share_is_template(spark, tmp_path):
     assert "Home" in got[40] and "text 0" in got[40]
 
 
+def test_menus_without_names_are_told_by_their_links(spark, tmp_path):
+    # the links differ from page to page, no name means anything, and there is no article element
+    page = "<div class='qa'><div class='qb'><a href=/a>{0}a</a> <a href=/b>{0}b</a></div><div class='qc'><h2><a href=/x>Title {0}</a></h2><p>see <a href=/c>{0}c</a> and text {0}</p></div><section><a href=/d>next {0}</a></section></div>"
+    pages = [page.format(i) for i in range(9)]
+    wrapper = wrappers.skeleton(pages[0])
+    for x in pages[1:]:
+        wrapper = wrappers.align(wrapper, wrappers.skeleton(x))
+    want = [f"Title {i}\n\nsee {i}c and text {i}" for i in range(9)]
+    assert [wrappers.main_text(x, wrappers.Roles(wrapper)) for x in pages] == want
+    # without the wrapper nothing tells them apart
+    assert all("next" in wrappers.main_text(x, wrappers.Roles(None)) for x in pages)
+    sf = h.save(spark.createDataFrame([(i, f"http://a.example.com/{i}", x) for i, x in enumerate(pages)], PAGE), tmp_path, "pages")
+    assert {r.page_id: r.text for r in wrappers.op7_wrapper_extraction(spark, sf).collect()} == dict(enumerate(want))
+
+
+def test_wrappers_are_expressions_that_all_their_pages_match():
+    import random
+    import re
+
+    def expression(nodes):
+        return "".join(f"(?:{expression(x[3]) if x[0] == '()' else f'<{re.escape(x[0])}>{expression(x[3])}</>'}){'' if x[1] == '1' else x[1]}" for x in nodes)
+
+    def stream(page):
+        return "".join(f"<{x}>" if kind == 1 else "</>" for kind, x in wrappers.events(page) if kind in (1, -1))
+
+    r = random.Random(11)
+
+    def made(depth):
+        return "".join(f"<{t}>{made(depth - 1) if depth else 'x'}</{t}>" for t in r.choices("abcd", k=r.randint(0, 4)) for t in ["c" + t])
+
+    for _ in range(150):
+        pages = [made(2) for _ in range(r.randint(2, 6))]
+        wrapper = wrappers.skeleton(pages[0])
+        for x in pages[1:]:
+            wrapper = wrappers.align(wrapper, wrappers.skeleton(x))
+        pattern = re.compile(expression(wrapper[3]))
+        for x in pages:
+            assert "<" not in x or pattern.fullmatch(stream(x) + "</>" * (stream(x).count("<c") - stream(x).count("</>"))), (x, pattern.pattern)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
