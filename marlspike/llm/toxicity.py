@@ -112,7 +112,8 @@ def features(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text") -> np.ndarray:
-    """Weights from labelled documents (joined on doc_id) where learn holds: of each label, the SAMPLE of smallest hash of their id."""
+    """Weights from labelled documents (joined on doc_id) where learn holds: of each label, the SAMPLE of smallest hash of their id,
+    each of them whole; of rows that repeat an id, one. Null ids and labels other than 0 and 1 teach nothing."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label IN (0, 1)")
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text")).where(learn)
     chosen, of = None, {r[0]: r[1] for r in marked.where(learn).distinct().groupBy("label").count().collect()}
@@ -120,7 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text")
         part = marked.where(F.col("label") == value).where(learn).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.union(part)
     # SAMPLE rows of 12 bytes for each label: a proven bound
-    got = rows.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(features, FEATURES).toArrow()
+    found = rows.join(F.broadcast(chosen), "doc_id")
+    # of rows that repeat an id, one
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("of"))
+    got = found.select("of.text", "label").mapInArrow(features, FEATURES).toArrow()
     rows = sorted(got.to_pylist(), key=lambda r: (r["label"], r["feature"], r["sentence"]))
     return fit([(r["label"], unpack(r["feature"], np.int32), unpack(r["sentence"], np.int32)) for r in rows], of=of)
 

@@ -412,3 +412,75 @@ def test_toxicity_fit_reads_long_documents_whole():
     texts = [". ".join(h.words(12, i) for i in range(1200)) + ". vile", "short one"]
     got = next(toxicity.features([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0], pa.int32())], names=["text", "label"])]))
     assert len(np.unique(toxicity.unpack(got.column(2)[0].as_py(), np.int32))) == 1201
+
+
+def plain_sentences(text):
+    """Feature sets of a text's sentences, word by word."""
+    out = []
+    for x in re.split(r"[.!?\n]", text.lower()):
+        words = [w.encode() for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", x)]
+        tables = toxicity.word_values(lower=False, seed=1234)
+
+        def hashed(w):
+            return int(toxicity.run_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), *tables)[0])
+
+        of = {hashed(w) >> 64 - toxicity.BITS for w in words}
+        of |= {(hashed(w[:k]) ^ k << 40) >> 64 - toxicity.BITS for w in words for k in toxicity.PREFIXES if len(w) > k}
+        out.append(of)
+    return out
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    r = np.random.default_rng(3)
+    weights = np.append(np.maximum(r.normal(size=1 << toxicity.BITS), 0) * 0.2, -4.0)
+    texts = ["You are vile. Go away!\nNow?", "one", "a a a b. " * 400, "É é ümlaut-x... ok", "", None, "..!"] + [h.words(60, i).replace(" c", ". c") for i in range(20)]
+    rows = toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights).collect()
+    exact = {row["_row"].doc_id: row.score for row in rows}
+    for i, t in enumerate(texts):
+        spans = [x for x in re.split(r"[.!?\n]", (t or "").lower()) if x]
+        clear = math.prod(1 - 1 / (1 + math.exp(-sum(weights[f] for f in plain_sentences(x)[0]) - weights[-1])) for x in spans)
+        assert abs(exact[i] - (1 - clear)) < 1e-9, (i, t)
+
+
+def test_toxicity_fit_is_near_the_least_loss():
+    r = random.Random(12)
+    documents = []
+    for i in range(80):
+        toxic = i % 4 == 0
+        sentences = [[r.randrange(1, 9) for _ in range(4)] for _ in range(3)]
+        if toxic:
+            sentences[r.randrange(3)].append(r.choice((20, 21)))
+        f = np.array([w for s in sentences for w in set(s)], np.int64)
+        documents.append((int(toxic), f, np.array([k for k, s in enumerate(sentences) for _ in set(s)], np.int32)))
+
+    def loss(w):
+        out = 5e-5 * sum(w[f] for f in range(30))
+        for label, f, s in documents:
+            clear = 1.0
+            for k in range(3):
+                clear *= 1 - 1 / (1 + math.exp(-sum(w[x] for x, y in zip(f, s) if y == k) - w[-1]))
+            p = min(max(1 - clear, 1e-9), 1 - 1e-12)
+            out -= (math.log(p) if label else math.log(1 - p)) / len(documents)
+        return out
+
+    w = toxicity.fit(documents)
+    found = loss(w)
+    assert found < 0.05 and min(w[20], w[21]) > 3 and max(w[1:9]) < 1
+    for k in (*range(1, 9), 20, 21, -1):
+        for step in (-0.3, 0.3):
+            near = w.copy()
+            near[k] = near[k] + step if k == -1 else max(0.0, near[k] + step)
+            assert loss(near) > found - 0.01, (k, step)
+
+
+def test_toxicity_with_repeated_ids_and_long_texts(spark):
+    r = random.Random(2)
+    docs = [(i, ". ".join(h.words(8, r.randrange(10**6)) for _ in range(3)) + (". utterly vile" if i % 3 == 0 else "")) for i in range(90)]
+    docs += [(5, docs[5][1])] * 200 + [(900, ". ".join(h.words(9, i) for i in range(4000)) + ". vile"), (901, ". ".join(h.words(9, i) for i in range(4000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(5, 0), (None, 1)], "doc_id long, toxic int")
+    weights = toxicity.train(df, labels, F.lit(True))
+    alone = toxicity.train(spark.createDataFrame(docs[:90], "doc_id long, text string"), labels, F.lit(True))
+    assert np.array_equal(weights, alone)
+    got = {x["_row"].doc_id: x.score for x in toxicity.scored(df, weights).collect()}
+    assert all((got[i] >= 0.3) == (i % 3 == 0) for i in range(90)) and got[900] > got[901]
