@@ -10,8 +10,8 @@ alignment of words: similarity 1 - edits / longer length >= 0.8. Classes are con
 
 What the sketches leave apart is then searched exactly. An edit changes two of a text's word pairs at
 most, so of the rarest 2/5 of each text's word pairs and k more, similar texts have k in common (a prefix
-filter; k is 1 for short texts and 3 for most). Texts of different classes that do, close in length, are
-aligned as well.
+filter; k is 1 for short texts and 3 for most), and no alignment of few edits moves one of them far. Texts
+of different classes that do, close in length and at places that few edits reach, are aligned as well.
 
 Pairs are aligned by blocks of pivots: a text travels once for each block that it has pivots in, not once
 for each pair.
@@ -37,25 +37,32 @@ BITS = 1 << 14
 #: Counters for word pairs (of any order of word pairs the search is exact; with the common ones last it is fast): 2^CELL_BITS,
 #: counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte each. A task sorts COUNTED of its word pairs at once.
 CELL_BITS, SLICE_BITS, COUNTED = 24, 17, 4_000_000
-#: Rare word pairs of one task of the exact search, and those a task holds before it sends them.
-BUCKET, HELD = 1_000_000, 4_000_000
+#: Rare word pairs of one task of the exact search, those that a task holds before it sends them, and pairs of texts likewise.
+BUCKET, HELD, MET = 1_000_000, 4_000_000, 1_000_000
 WORD_BYTES = bytes([*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)])
 
-RARE = "bucket int, gram binary, owner binary, doc binary, class binary, n binary"
+RARE = "bucket int, gram binary, place binary, owner binary, doc binary, class binary, n binary"
 SKETCH = "doc long, k1 long, k2 long, n int, sketch array<long>, words binary"
 
 
 def kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled k-mers of width words of all rows, in order, and their number in each row (one for 1 to width words)."""
     h, row = plain_kmers(words, first, sizes, width)
+    return labelled(h, row)[0], np.bincount(row, minlength=len(sizes))
+
+
+def labelled(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes with the number of their occurrence in their row mixed in, and whether each is alone there."""
     order = np.lexsort((h, row))  # stable: equal k-mers of a row stay in text order
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
     at = np.flatnonzero(new)
-    nth = np.empty(len(h), U64)
-    nth[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    times = np.diff(np.append(at, len(h)))
+    nth, alone = np.empty(len(h), U64), np.empty(len(h), bool)
+    nth[order] = np.arange(len(h)) - np.repeat(at, times)
+    alone[order] = np.repeat(times == 1, times)
     with np.errstate(over="ignore"):
-        return mix64(h + nth * U64(0x9E3779B97F4A7C15)), np.bincount(row, minlength=len(sizes))
+        return mix64(h + nth * U64(0x9E3779B97F4A7C15)), alone
 
 
 def plain_kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +314,7 @@ def rarest(common, n_buckets: int):
         held: list[list[np.ndarray]] = []
 
         def blocks():
-            gram, doc, class_, n = (np.concatenate(x) for x in zip(*held))
+            gram, place, doc, class_, n = (np.concatenate(x) for x in zip(*held))
             held.clear()
             bucket = (gram % U64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")  # rows of one text stay together
@@ -318,22 +325,24 @@ def rarest(common, n_buckets: int):
                 new = np.ones(len(i), bool)
                 new[1:] = (np.diff(doc[i]) != 0) | (np.diff(n[i]) != 0)
                 own = i[new]
-                out.append((int(bucket[i[0]]), pack(gram[i]), pack(new.astype(np.uint8)), pack(doc[own]), pack(class_[own]), pack(n[own])))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 6))], names=["bucket", "gram", "owner", "doc", "class", "n"])
+                out.append((int(bucket[i[0]]), pack(gram[i]), pack(place[i]), pack(new.astype(np.uint8)), pack(doc[own]), pack(class_[own]), pack(n[own])))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 7))], names=["bucket", "gram", "place", "owner", "doc", "class", "n"])
 
         for batch in portions(batches):
             words, first, sizes = read_words(batch.column(2))
             if not len(words):
                 continue
-            grams, (plain, row) = kmers(words, first, sizes, 2)[0], plain_kmers(words, first, sizes, 2)
+            plain, row = plain_kmers(words, first, sizes, 2)
+            grams, alone = labelled(plain, row)
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(sizes)))[row]
             order = np.lexsort((grams, count[cells(plain)], row))
-            grams, row = grams[order], row[order]
+            grams, row, place = grams[order], row[order], np.where(alone, place, -1)[order].astype(np.int32)
             start = np.searchsorted(row, np.arange(len(sizes)))
             keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes)[row]) & (sizes[row] >= 4)
             row = row[keep]
             doc, class_ = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             # 48 bits: word pairs that fall together are only aligned in vain
-            held.append([grams[keep] & U64((1 << 48) - 1), doc[row], class_[row], sizes[row].astype(np.int32)])
+            held.append([grams[keep] & U64((1 << 48) - 1), place[keep], doc[row], class_[row], sizes[row].astype(np.int32)])
             if sum(len(x[0]) for x in held) > HELD:
                 yield blocks()
         if held and any(len(x[0]) for x in held):
@@ -343,18 +352,25 @@ def rarest(common, n_buckets: int):
 
 
 def meeting(batches):
-    """From blocks sorted by bucket: the pairs of texts of two classes that share word pairs and are close in length, how many they share here and need."""
-    found: list[np.ndarray] = []
+    """From blocks sorted by bucket: the pairs of texts of two classes that share word pairs at places that few edits reach, and are
+    close in length, how many they share here and need."""
+    found: list[np.ndarray] = []  # rows of doc, pivot, need, shared
+
+    def merged() -> None:
+        doc, pivot, need, shared = np.concatenate(found, axis=1)
+        order = np.lexsort((pivot, doc))
+        at = np.flatnonzero(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(pivot[order]) != 0)))
+        first = order[at]
+        found[:] = [np.stack([doc[first], pivot[first], need[first], np.add.reduceat(shared[order], at)])]
 
     def pairs():
-        out, shared = np.unique(np.concatenate(found) if found else np.zeros((0, 3), np.int64), axis=0, return_counts=True)
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(shared.astype(np.int64)), pa.array(out[:, 2])], names=["doc", "pivot", "shared", "need"])
+        doc, pivot, need, shared = found.pop() if found else np.zeros((4, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, pivot, shared, need)], names=["doc", "pivot", "shared", "need"])
 
     def bucket(parts):
-        gram, doc, class_, n = (np.concatenate(x) for x in zip(*parts))
+        gram, place, doc, class_, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((n, gram))
-        gram, doc, class_, n = gram[order], doc[order], class_[order], n[order].astype(np.int64)
+        gram, place, doc, class_, n = gram[order], place[order].astype(np.int64), doc[order], class_[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         size = np.diff(np.append(at, len(gram)))
         mixed = np.minimum.reduceat(class_, at) != np.maximum.reduceat(class_, at)
@@ -366,24 +382,31 @@ def meeting(batches):
             j = i + step
             near = n[j] - n[i] <= n[j] // 5  # longer ones come later: none of them is near
             i, j = i[near], j[near]
-            differ = class_[i] != class_[j]
-            a, b = doc[i[differ]], doc[j[differ]]
+            moved = np.abs(place[i] - place[j])
+            fits = (moved + np.abs(n[i] - n[j] - place[i] + place[j]) <= n[j] // 5) | (place[i] < 0) | (place[j] < 0)
+            fits &= class_[i] != class_[j]
+            a, b = doc[i[fits]], doc[j[fits]]
             if len(a):
-                found.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed(n[i[differ]])], axis=1))  # n[i] <= n[j]
+                found.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed(n[i[fits]]), np.ones(len(a), np.int64)]))  # n[i] <= n[j]
                 waiting += len(a)
-            if waiting > 500_000:
-                yield pairs()
-                waiting = 0
+            if waiting > MET:
+                merged()
+                waiting = found[0].shape[1]
+                if waiting > MET // 2:
+                    yield pairs()
+                    waiting = 0
+        if found:
+            merged()
         yield pairs()
 
     held, parts = None, []
     for batch in batches:
-        for of, gram, owner, *each in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        for of, gram, place, owner, *each in zip(*(batch.column(k).to_pylist() for k in range(7))):
             if of != held and parts:
                 yield from bucket(parts)
                 parts = []
             held, own = of, np.cumsum(unpack(owner, np.uint8), dtype=np.int64) - 1
-            parts.append([unpack(gram, U64), *(unpack(x, t)[own] for x, t in zip(each, (np.int64, np.int64, np.int32)))])
+            parts.append([unpack(gram, U64), unpack(place, np.int32), *(unpack(x, t)[own] for x, t in zip(each, (np.int64, np.int64, np.int32)))])
     if parts:
         yield from bucket(parts)
 
@@ -396,7 +419,7 @@ def unmet(texts: DataFrame) -> DataFrame:
     counted = texts.select("words").mapInArrow(counting, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slice int, counts binary")
     for i, counts in zip(*counted.toArrow().to_pydict().values()):
         common.reshape(-1, 1 << SLICE_BITS)[i] = unpack(counts, np.uint8)
-    n_buckets = max(16, int(0.4 * words) // BUCKET)
+    n_buckets = max(1, -(-int(0.45 * words) // BUCKET))
     blocks = texts.select("doc", "class", "words").mapInArrow(rarest(spark.sparkContext.broadcast(common), n_buckets), RARE)
     met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "doc long, pivot long, shared long, need long")
     return met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("doc", "pivot")
