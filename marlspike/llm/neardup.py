@@ -31,14 +31,14 @@ WORDS, TABLES, WIDTH = 5, 40, 2
 #: Buckets of this many texts or fewer are paired in full.
 SMALL = 8
 #: Pivots of one block of alignments, pairs that one group of a block takes, and words of unpacked pivots that it keeps.
-PIVOTS, PAIRS, UNPACKED = 500, 4000, 1_000_000
+PIVOTS, PAIRS, UNPACKED = 500, 4000, 300_000
 #: Bits of a text's bitmap of distinct words.
 BITS = 1 << 14
 #: Counters for word pairs (of any order of word pairs the search is exact; with the common ones last it is fast): 2^CELL_BITS,
 #: counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte each. A task sorts COUNTED of its word pairs at once.
-CELL_BITS, SLICE_BITS, COUNTED = 24, 17, 4_000_000
+CELL_BITS, SLICE_BITS, COUNTED = 24, 17, 2_000_000
 #: Rare word pairs of one task of the exact search, those that a task holds before it sends them, and pairs of texts likewise.
-BUCKET, HELD, MET = 1_000_000, 4_000_000, 1_000_000
+BUCKET, HELD, MET = 1_000_000, 2_000_000, 500_000
 WORD_BYTES = bytes([*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)])
 
 RARE = "bucket int, gram binary, place binary, owner binary, doc binary, class binary, n binary"
@@ -311,20 +311,23 @@ def rarest(common, n_buckets: int):
 
     def f(batches):
         count = common.value
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []  # word pairs, their places and owners
+        texts: list[tuple] = []  # of the owners: doc, class, words
+        owners = waiting = 0
 
         def blocks():
-            gram, place, doc, class_, n = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            bucket = (gram % U64(n_buckets)).astype(np.int64)
+            gram, place, owner = (np.concatenate(x) for x in zip(*held))
+            doc, class_, n = (np.concatenate(x) for x in zip(*texts))
+            held.clear(), texts.clear()
+            bucket = (gram % U64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")  # rows of one text stay together
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             out = []
             for a, b in zip(at, np.append(at[1:], len(order))):
                 i = order[a:b]
-                new = np.ones(len(i), bool)
-                new[1:] = (np.diff(doc[i]) != 0) | (np.diff(n[i]) != 0)
-                own = i[new]
+                of = owner[i]
+                new = np.diff(of, prepend=-1) != 0
+                own = of[new]
                 out.append((int(bucket[i[0]]), pack(gram[i]), pack(place[i]), pack(new.astype(np.uint8)), pack(doc[own]), pack(class_[own]), pack(n[own])))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 7))], names=["bucket", "gram", "place", "owner", "doc", "class", "n"])
 
@@ -339,13 +342,14 @@ def rarest(common, n_buckets: int):
             grams, row, place = grams[order], row[order], np.where(alone, place, -1)[order].astype(np.int32)
             start = np.searchsorted(row, np.arange(len(sizes)))
             keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes)[row]) & (sizes[row] >= 4)
-            row = row[keep]
-            doc, class_ = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             # 48 bits: word pairs that fall together are only aligned in vain
-            held.append([grams[keep] & U64((1 << 48) - 1), place[keep], doc[row], class_[row], sizes[row].astype(np.int32)])
-            if sum(len(x[0]) for x in held) > HELD:
+            held.append((grams[keep] & U64((1 << 48) - 1), place[keep], (row[keep] + owners).astype(np.int32)))
+            texts.append((*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)), sizes.astype(np.int32)))
+            owners, waiting = owners + len(sizes), waiting + int(keep.sum())
+            if waiting > HELD:
                 yield blocks()
-        if held and any(len(x[0]) for x in held):
+                owners = waiting = 0
+        if waiting:
             yield blocks()
 
     return f
