@@ -36,7 +36,7 @@ PIVOTS, PAIRS, UNPACKED = 500, 4000, 300_000
 BITS = 1 << 14
 #: Counters for word pairs (of any order of word pairs the search is exact; with the common ones last it is fast): 2^CELL_BITS,
 #: counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte each. A task sorts COUNTED of its word pairs at once.
-CELL_BITS, SLICE_BITS, COUNTED = 24, 17, 3_000_000
+CELL_BITS, SLICE_BITS, COUNTED = 23, 17, 3_000_000
 #: Rare word pairs of one task of the exact search, those that a task holds before it sends them, and pairs of texts likewise.
 BUCKET, HELD, MET = 1_000_000, 2_000_000, 500_000
 WORD_BYTES = bytes([*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)])
