@@ -12,7 +12,7 @@ STAGES = [
     ("quality_rules", quality.stage),
     ("line_dedup", lines.stage),
     ("near_dedup", neardup.stage),
-    ("mix_sources", mixing.stage),
+    ("mix_sources", mixing.placed),
     ("bpe_encode", bpe.stage),
 ]
 

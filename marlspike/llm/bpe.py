@@ -21,7 +21,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
 from .common import portions, row_of, sliced, table, worker_cache
 
 #: Distinct chunks of text whose encodings a worker keeps; when full it starts anew.
@@ -321,6 +320,6 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's tokens as op5_bpe gives them, and its place in the mix: doc_id, n_tokens, the digests of ids and decoded text, slot and place."""
-    rows = digests(encoded(docs.select("doc_id", mixing.identity().alias("_id"), "text")), "_id")
-    return rows.join(mixing.positions(docs), "_id", "left").drop("_id")
+    """Each document's tokens as op5_bpe gives them, and its place in the mix as the stage before gave it: doc_id, n_tokens, the digests of ids and decoded text, slot and place."""
+    mix = [c for c in ("slot", "place") if c in docs.columns]
+    return digests(encoded(docs.select("doc_id", *mix, "text")), *mix)

@@ -187,7 +187,17 @@ def positions(docs: DataFrame) -> DataFrame:
     return at.groupBy(F.col("_row.doc_id").alias("_id")).agg(F.min(F.struct("_slot", "_place")).alias("at")).select("_id", F.col("at._slot").alias("slot"), F.col("at._place").alias("place"))
 
 
+def mixed(docs: DataFrame, *without: str) -> DataFrame:
+    """All documents as a struct _row (but for some columns), with slot and place, in the order of the mix over the parts of the table."""
+    both = docs.select(row_of(docs, *without), identity().alias("_id")).join(positions(docs), "_id", "left")
+    return both.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix over the parts of the table; positions() gives that order again."""
-    both = docs.select(row_of(docs), identity().alias("_id")).join(positions(docs), "_id", "left")
-    return both.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("_row.*")
+    return mixed(docs).select("_row.*")
+
+
+def placed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As stage(), and each document's slot and place, which outlive the order of the parts: what follows reads the mix from them."""
+    return mixed(docs, "slot", "place").select("_row.*", "slot", "place")

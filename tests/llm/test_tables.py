@@ -212,3 +212,15 @@ def test_pipeline(spark, tmp_path):
     at = mixing.positions(spark.createDataFrame([x for x in docs if x[0] < 12], h.SCHEMA)).collect()
     assert {(r.doc_id, r.slot, r.place) for r in rows} == {tuple(r) for r in at} and {r.slot for r in rows} == {0, 1, 2}
     assert corpus_pipeline.run(spark, h.empty(spark, tmp_path / "none")).count() == 0
+
+
+def test_pipeline_tokens_follow_the_mix_that_its_stage_made(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.createDataFrame([(i, h.words(9, i), "en", f"s{i % 2}", 1) for i in range(40)], h.SCHEMA)
+    placed = stages["mix_sources"](spark, docs, "")
+    at = {r.doc_id: (r.slot, r.place) for r in placed.collect()}
+    assert at == {r["_id"]: (r.slot, r.place) for r in mixing.positions(docs).collect()} and len(set(at.values())) == 40
+    other = placed.withColumns({"slot": 1000 - placed.slot, "place": placed.place + 7})
+    got = {r.doc_id: (r.slot, r.place) for r in stages["bpe_encode"](spark, other, "").collect()}
+    assert got == {k: (1000 - slot, place + 7) for k, (slot, place) in at.items()}
