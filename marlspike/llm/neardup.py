@@ -8,10 +8,16 @@ members are paired with one another and many with four of them (smallest id, few
 smallest hash), so pairs grow with members, not with their square. Pairs are verified by a banded
 alignment of words: similarity 1 - edits / longer length >= 0.8. Classes are connected components.
 
-What the sketches leave apart is then searched exactly. An edit changes two of a text's word pairs at
-most, so of the rarest 2/5 of each text's word pairs and k more, similar texts have k in common (a prefix
-filter; k is 1 for short texts and 3 for most), and no alignment of few edits moves one of them far. Texts
-of different classes that do, close in length and at places that few edits reach, are aligned as well.
+What the sketches leave apart is then searched exactly. An edit changes three of a text's three-word runs
+at most, so of the rarest 3/5 of each text's runs and k more, similar texts have k in common (a prefix
+filter; k is 1 for short texts and 3 for most; texts of few words meet by word pairs, rarest 2/5, as they
+have too few longer runs), and no alignment of few edits moves one of them far. Texts of different classes
+that do, close in length and at places that few edits reach, are aligned as well.
+
+Where many texts are nearly similar to one another, these pairs would grow with the square of their number.
+Texts that meet many others each, and meet, are drawn together to a crowd instead of being paired, by one
+row a text. All texts of a crowd are compared in tiles, by blocks of texts of fitting lengths; a tile gives
+the links only, and pairs that its links have connected are passed over.
 
 Pairs are aligned by blocks of pivots: a text travels once for each block that it has pivots in, not once
 for each pair.
@@ -34,11 +40,15 @@ SMALL = 8
 PIVOTS, PAIRS, UNPACKED = 500, 4000, 300_000
 #: Bits of a text's bitmap of distinct words.
 BITS = 1 << 14
-#: Counters for word pairs (of any order of word pairs the search is exact; with the common ones last it is fast): 2^CELL_BITS,
-#: counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte each. A task sorts COUNTED of its word pairs at once.
+#: Texts of so many words or more meet others of so many by three-word runs.
+LONG = 20
+#: Counters for runs (of any order of runs the search is exact; with the common ones last it is fast): 2^CELL_BITS,
+#: counted over all texts, sent in slices of 2^SLICE_BITS, kept as one byte each. A task sorts COUNTED of its runs at once.
 CELL_BITS, SLICE_BITS, COUNTED = 23, 17, 3_000_000
-#: Rare word pairs of one task of the exact search, those that a task holds before it sends them, and pairs of texts likewise.
+#: Rare runs of one task of the exact search, those that a task holds before it sends them, and pairs of texts likewise.
 BUCKET, HELD, MET = 1_000_000, 2_000_000, 500_000
+#: Two texts that meet, and meet more than CROWD others each in a task, are of one crowd. Words of a block of a crowd's texts.
+CROWD, TILE = 16, 250_000
 WORD_BYTES = bytes([*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)])
 
 RARE = "bucket int, gram binary, place binary, owner binary, doc binary, class binary, n binary"
@@ -248,13 +258,20 @@ def read_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(each).astype(U64) if len(each) else np.zeros(0, U64), np.cumsum(sizes) - sizes, sizes
 
 
+def shingles(words: np.ndarray, sizes: np.ndarray):
+    """(width, hashes, rows): the three-word runs of texts of LONG words or more, and the word pairs of those that may be similar to a shorter one."""
+    for width, some in ((2, sizes < LONG * 5 // 4), (3, sizes >= LONG)):
+        n = np.where(some, sizes, 0)
+        yield width, *plain_kmers(words[np.repeat(some, sizes)], np.cumsum(n) - n, n, width)
+
+
 def cells(plain: np.ndarray) -> np.ndarray:
-    """The counter of each word pair."""
+    """The counter of each run."""
     return (plain >> U64(64 - CELL_BITS)).astype(np.int64)
 
 
 def counting(batches):
-    """(slice, counts): how many word pairs of this task's texts fall in each counter. Those that come once among COUNTED are
+    """(slice, counts): how many runs of this task's texts fall in each counter. Those that come once among COUNTED are
     left out: most do, and would only blur the counts of others."""
     count, held = np.zeros(1 << CELL_BITS, np.int32), []
 
@@ -266,7 +283,8 @@ def counting(batches):
         np.add.at(count, cells(plain[np.append(same, False) | np.append(False, same)]), 1)
 
     for batch in portions(batches):
-        held.append(plain_kmers(*read_words(batch.column(0)), 2)[0])
+        words, _, sizes = read_words(batch.column(0))
+        held += [plain for _, plain, _ in shingles(words, sizes)]
         if sum(map(len, held)) > COUNTED:
             add()
     if held:
@@ -296,32 +314,31 @@ def summed(batches):
 
 
 def needed(n: np.ndarray) -> np.ndarray:
-    """How many rare word pairs a text of n words has in common with a similar one; of two texts the smaller number holds."""
+    """How many rare runs a text of n words has in common with a similar one; of two texts the smaller number holds."""
     return np.minimum(1 + n // 20, 3)
 
 
-def prefix_sizes(n: np.ndarray) -> np.ndarray:
-    """How many of a text's word pairs, first in any fixed order, hold needed(n) of each similar text's: so many more than that text may lack.
+def prefix_sizes(n: np.ndarray, width: int) -> np.ndarray:
+    """How many of a text's runs of width words, first in any fixed order, hold needed(n) of each similar text's: so many more than that text may lack.
 
-    Texts of n and m >= n words have m - 1 - 2 * (m // 5) word pairs in common at least; m = n to n + 4 has the largest gap.
+    Texts of n and m >= n words have m - (width - 1) - width * (m // 5) runs in common at least; m = n to n + 4 has the largest gap.
     """
-    return np.max([2 * ((n + i) // 5) - i for i in range(5)], axis=0) + needed(n)
+    return np.max([width * ((n + i) // 5) - i for i in range(5)], axis=0) + needed(n)
 
 
 def rarest(common, n_buckets: int):
-    """From rows (doc, class, words): the rarest word pairs of each text, as blocks for each bucket of word pairs. Texts under 4 words are similar to none."""
+    """From rows (doc, class, words): the rarest runs of each text, as blocks for each bucket of runs. Texts under 4 words are similar to none."""
 
     def f(batches):
         count = common.value
-        held: list[tuple] = []  # word pairs, their places and owners
+        held: list[tuple] = []  # runs, their places, owners and buckets
         texts: list[tuple] = []  # of the owners: doc, class, words
         owners = waiting = 0
 
         def blocks():
-            gram, place, owner = (np.concatenate(x) for x in zip(*held))
+            gram, place, owner, bucket = (np.concatenate(x) for x in zip(*held))
             doc, class_, n = (np.concatenate(x) for x in zip(*texts))
             held.clear(), texts.clear()
-            bucket = (gram % U64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")  # rows of one text stay together
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             out = []
@@ -334,20 +351,25 @@ def rarest(common, n_buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 7))], names=["bucket", "gram", "place", "owner", "doc", "class", "n"])
 
         for batch in portions(batches):
-            words, first, sizes = read_words(batch.column(2))
+            words, _, sizes = read_words(batch.column(2))
             if not len(words):
                 continue
-            plain, row = plain_kmers(words, first, sizes, 2)
-            grams, alone = labelled(plain, row)
-            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(sizes)))[row]
-            order = np.lexsort((grams, count[cells(plain)], row))
-            grams, row, place = grams[order], row[order], np.where(alone, place, -1)[order].astype(np.int32)
-            start = np.searchsorted(row, np.arange(len(sizes)))
-            keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes)[row]) & (sizes[row] >= 4)
-            # 48 bits: word pairs that fall together are only aligned in vain
-            held.append((grams[keep] & U64((1 << 48) - 1), place[keep], (row[keep] + owners).astype(np.int32)))
+            for width, plain, row in shingles(words, sizes):
+                if not len(plain):
+                    continue
+                grams, alone = labelled(plain, row)
+                start = np.searchsorted(row, np.arange(len(sizes)))
+                place = np.arange(len(row)) - start[row]
+                order = np.lexsort((grams, count[cells(plain)], row))  # rows stay where they are
+                grams, place = grams[order], np.where(alone, place, -1)[order].astype(np.int32)
+                keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes, width)[row]) & (sizes[row] >= 4)
+                # all occurrences of a run go to one bucket, so that texts which share many of them meet there only
+                bucket = (plain[order][keep] % U64(n_buckets)).astype(np.int32)
+                # 48 bits: runs that fall together are only aligned in vain
+                held.append((grams[keep] & U64((1 << 48) - 1), place[keep], (row[keep] + owners).astype(np.int32), bucket))
+                waiting += int(keep.sum())
             texts.append((*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)), sizes.astype(np.int32)))
-            owners, waiting = owners + len(sizes), waiting + int(keep.sum())
+            owners += len(sizes)
             if waiting > HELD:
                 yield blocks()
                 owners = waiting = 0
@@ -357,26 +379,54 @@ def rarest(common, n_buckets: int):
     return f
 
 
-def meeting(batches):
-    """From blocks sorted by bucket: the pairs of texts of two classes that share word pairs at places that few edits reach, and are
-    close in length, how many they share here and need."""
-    found: list[np.ndarray] = []  # rows of doc, pivot, need, shared
+def drawn(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest member of its group and its own label, with the groups of a and b made one."""
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (label[a] == label[b]).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
 
-    def merged() -> None:
-        doc, pivot, need, shared = np.concatenate(found, axis=1)
+
+def meeting(batches):
+    """From blocks sorted by bucket: the pairs of texts of two classes that share runs at places that few edits reach, and are
+    close in length, how many they share here and need. Of a crowd's texts, one row each with another of the crowd; these need 0."""
+    found: list[np.ndarray] = []  # rows of doc, pivot, need, shared, by their numbers in the bucket
+
+    def merged(label: np.ndarray) -> np.ndarray:
+        """What was found, each pair once; pairs within a crowd go. The crowds, with those that show up now."""
+        found[:] = [np.concatenate(found, axis=1)]
+        doc, pivot, need, shared = found[0]
+        if not len(doc):
+            return label
         order = np.lexsort((pivot, doc))
         at = np.flatnonzero(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(pivot[order]) != 0)))
-        first = order[at]
-        found[:] = [np.stack([doc[first], pivot[first], need[first], np.add.reduceat(shared[order], at)])]
-
-    def pairs():
+        first, shared = order[at], np.add.reduceat(shared[order], at)
+        doc, pivot, need = doc[first], pivot[first], need[first]
+        meets = np.bincount(doc, minlength=len(label)) + np.bincount(pivot, minlength=len(label))
+        many = (meets[doc] > CROWD) & (meets[pivot] > CROWD)
+        label = drawn(label, doc[many], pivot[many])
+        apart = label[doc] != label[pivot]
+        found[:] = [np.stack([doc, pivot, need, shared])[:, apart]]
+        return label
+
+    def pairs(ids: np.ndarray):
         doc, pivot, need, shared = found.pop() if found else np.zeros((4, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, pivot, shared, need)], names=["doc", "pivot", "shared", "need"])
+        return rows(ids[doc], ids[pivot], shared, need)
+
+    def rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "pivot", "shared", "need"])
 
     def bucket(parts):
         gram, place, doc, class_, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((n, gram))
         gram, place, doc, class_, n = gram[order], place[order].astype(np.int64), doc[order], class_[order], n[order].astype(np.int64)
+        ids, doc = np.unique(doc, return_inverse=True)
+        label = np.arange(len(ids))
         at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
         size = np.diff(np.append(at, len(gram)))
         mixed = np.minimum.reduceat(class_, at) != np.maximum.reduceat(class_, at)
@@ -390,20 +440,23 @@ def meeting(batches):
             i, j = i[near], j[near]
             moved = np.abs(place[i] - place[j])
             fits = (moved + np.abs(n[i] - n[j] - place[i] + place[j]) <= n[j] // 5) | (place[i] < 0) | (place[j] < 0)
-            fits &= class_[i] != class_[j]
+            fits &= (class_[i] != class_[j]) & (label[doc[i]] != label[doc[j]])
             a, b = doc[i[fits]], doc[j[fits]]
             if len(a):
                 found.append(np.stack([np.maximum(a, b), np.minimum(a, b), needed(n[i[fits]]), np.ones(len(a), np.int64)]))  # n[i] <= n[j]
                 waiting += len(a)
             if waiting > MET:
-                merged()
+                label = merged(label)
                 waiting = found[0].shape[1]
                 if waiting > MET // 2:
-                    yield pairs()
+                    yield pairs(ids)
                     waiting = 0
         if found:
-            merged()
-        yield pairs()
+            label = merged(label)
+        yield pairs(ids)
+        drawn_in = np.flatnonzero(label != np.arange(len(ids)))
+        zeros = np.zeros(len(drawn_in), np.int64)
+        yield rows(ids[drawn_in], ids[label[drawn_in]], zeros, zeros)
 
     held, parts = None, []
     for batch in batches:
@@ -418,17 +471,101 @@ def meeting(batches):
 
 
 def unmet(texts: DataFrame) -> DataFrame:
-    """(doc, pivot): from texts (doc, class, n, words), pairs of different classes; all those that are similar are among them."""
+    """(doc, pivot, need): from texts (doc, class, n, words), pairs of different classes, and with need 0 links that hold the texts of
+    each crowd together; all pairs that are similar are among the former or within a crowd."""
     spark = texts.sparkSession
     words = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = np.zeros(1 << CELL_BITS, np.uint8)
     counted = texts.select("words").mapInArrow(counting, "slice int, counts binary").repartition("slice").sortWithinPartitions("slice").mapInArrow(summed, "slice int, counts binary")
     for i, counts in zip(*counted.toArrow().to_pydict().values()):
         common.reshape(-1, 1 << SLICE_BITS)[i] = unpack(counts, np.uint8)
-    n_buckets = max(1, -(-int(0.45 * words) // BUCKET))
+    n_buckets = max(1, -(-int(0.65 * words) // BUCKET))
     blocks = texts.select("doc", "class", "words").mapInArrow(rarest(spark.sparkContext.broadcast(common), n_buckets), RARE)
     met = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meeting, "doc long, pivot long, shared long, need long")
-    return met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("doc", "pivot")
+    return met.groupBy("doc", "pivot").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("doc", "pivot", "need")
+
+
+def tiles(batches):
+    """From rows (crowd, s, i, t, j, side, doc, class, words) sorted by tile (the first five): links (a, b) between similar texts of
+    the two sides, or of one side if the tile has one block only. Pairs that classes and earlier links of the tile connect are passed over."""
+
+    def tile(sides: tuple[list, list], alone: bool):
+        texts = sides[0] + sides[1]
+        ready, size = {}, 0
+        bits, n = np.zeros((len(texts), BITS // 64), U64), np.zeros(len(texts), np.int64)
+        for k, (_, _, packed) in enumerate(texts):
+            words = unpack(packed, np.uint32)
+            of = np.zeros(BITS, bool)
+            of[words % BITS] = True
+            bits[k], n[k] = np.packbits(of).view(U64), len(words)
+        label = np.unique([x[1] for x in texts], return_inverse=True)[1]
+
+        def read(k: int) -> Read:
+            nonlocal size
+            if k not in ready:
+                if size > UNPACKED:
+                    ready.clear()
+                    size = 0
+                ready[k] = Read(texts[k][2])
+                size += len(ready[k].words)
+            return ready[k]
+
+        for i in range(len(sides[0])):
+            others = np.arange(i + 1 if alone else len(sides[0]), len(texts))
+            longer = np.maximum(n[others], n[i])
+            fits = (label[others] != label[i]) & (longer - np.minimum(n[others], n[i]) <= longer // 5)
+            others, longer = others[fits], longer[fits]
+            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(apart <= 2 * (longer // 5))
+            for k in others[near[np.argsort(apart[near], kind="stable")]].tolist():
+                if label[k] != label[i] and may_be_similar(a := read(i), b := read(k)) and similar(a.words, b.words):
+                    label[label == label[k]] = label[i]
+                    yield texts[i][0], texts[k][0]
+
+    def out(pairs: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    held, sides = None, ([], [])
+    for batch in batches:
+        for *key, side, doc, class_, words in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != held and held is not None:
+                yield out(list(tile(sides, held[1:3] == held[3:5])))
+                sides = ([], [])
+            held = key
+            sides[side].append((doc, class_, words))
+    if held is not None:
+        yield out(list(tile(sides, held[1:3] == held[3:5])))
+
+
+def crowded(together: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between the similar texts of each crowd, from links (doc, pivot) that hold crowds together and texts (doc, class, n, words).
+
+    Lengths go by steps so wide that similar texts are of one step or of two in succession. The texts of a step are dealt into blocks, and
+    any two blocks that may hold a similar pair are a tile.
+    """
+    crowds = components(together.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+    all_ = texts.join(crowds.select("doc", F.col("class").alias("crowd")), "doc").withColumn("s", F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int"))
+    sizes = written(all_.groupBy("crowd", "s").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("p")), "steps")
+    for name, by in (("before", 1), ("after", -1)):
+        all_ = all_.join(sizes.select("crowd", (F.col("s") + by).alias("s"), F.col("p").alias(name)), ["crowd", "s"], "left")
+    all_ = all_.join(sizes, ["crowd", "s"]).withColumn("i", F.pmod(F.hash("doc"), F.col("p")).cast("int"))
+
+    def blocks(first, until, tile):
+        one = F.transform(F.sequence(first, until - 1), lambda j: F.struct(*[x.cast("int").alias(k) for k, x in zip(("s", "i", "t", "j", "side"), tile(j))]))
+        return F.when(until > first, one).otherwise(F.array())
+
+    s, i, p, left, right = F.col("s"), F.col("i"), F.col("p"), F.lit(0), F.lit(1)
+    each = F.concat(
+        blocks(i, p, lambda j: (s, i, s, j, left)),
+        blocks(F.lit(0), i, lambda j: (s, j, s, i, right)),
+        blocks(F.lit(0), F.coalesce("after", F.lit(0)), lambda j: (s, i, s + 1, j, left)),
+        blocks(F.lit(0), F.coalesce("before", F.lit(0)), lambda j: (s - 1, j, s, i, right)),
+    )
+    work = all_.select("crowd", F.explode(each).alias("of"), "doc", "class", "words").select("crowd", "of.*", "doc", "class", "words")
+    tile = ["crowd", "s", "i", "t", "j"]
+    links = written(work.repartition(*tile).sortWithinPartitions(*tile, "side", "doc").mapInArrow(tiles, "a long, b long"), "crowded")
+    discard(crowds, sizes)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -496,10 +633,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     of = first.select(F.col("rep").alias("doc"), "k1", "k2").join(found, "doc", "left").select("doc", "k1", "k2", F.coalesce("class", "doc").alias("class"))
     texts = written(all_.where("n >= 4").select("doc", "k1", "k2", "n", "words").join(of, ["doc", "k1", "k2"]).select("doc", "class", "n", "words"), "texts")
     discard(all_, first, buckets, pairs, links)
-    pairs = written(unmet(texts), "unmet")
-    more = linked(pairs, texts)
-    out = components(found.select(F.col("doc").alias("a"), F.col("class").alias("b")).union(more))
-    discard(texts, pairs, more, found)
+    met = written(unmet(texts), "unmet")
+    more, together = [linked(met.where("need > 0").select("doc", "pivot"), texts)], met.where("need = 0")
+    if not together.isEmpty():
+        more.append(crowded(together, texts))
+    links = found.select(F.col("doc").alias("a"), F.col("class").alias("b"))
+    for x in more:
+        links = links.union(x)
+    out = components(links)
+    discard(texts, met, *more, found)
     return out
 
 

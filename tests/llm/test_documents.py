@@ -328,6 +328,46 @@ def test_near_duplicates_of_all_lengths_down_to_the_threshold(spark):
     assert near_classes(spark, texts) == want
 
 
+def crowd(texts, words, edits, seed):
+    """Texts of one base of so many words, each with its own edits: most pairs are 70 to 80 % alike, some more."""
+    r, base = random.Random(seed), h.words(words, seed).split(" ")
+    out = []
+    for i in range(texts):
+        w = [f"e{i}e{j}" if j in at else x for at in [set(r.sample(range(words), edits))] for j, x in enumerate(base)]
+        if i % 3 == 1:
+            w = [f"{x} i{i}i{j}" if r.random() < 0.05 else x for j, x in enumerate(w)]
+        out.append(" ".join(w if i % 3 < 2 else [x for x in w if r.random() > 0.05]))
+    return out
+
+
+def test_near_duplicates_in_crowds_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 1500)
+    compared, real = [], neardup.crowded
+    monkeypatch.setattr(neardup, "crowded", lambda *x: compared.append(real(*x)) or compared[0])
+    texts = crowd(90, 100, 11, 1) + crowd(60, 40, 4, 2) + crowd(50, 22, 3, 3) + [h.words(60, 70 + i) for i in range(20)]
+    want = classes_by_brute_force(texts)
+    assert 60 < len(set(want)) < 200
+    assert near_classes(spark, texts) == want and compared
+
+
+def test_texts_of_a_crowd_meet_in_a_row_each_and_repeated_runs_in_one_bucket():
+    import types
+
+    import pyarrow as pa
+
+    def met(texts, buckets):
+        words = [np.array([zlib.crc32(x.encode()) for x in t.split(" ")], np.uint32) for t in texts]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array([neardup.pack(w) for w in words], pa.binary())], names=["doc", "class", "words"])
+        blocks = neardup.rarest(types.SimpleNamespace(value=np.zeros(1 << neardup.CELL_BITS, np.uint8)), buckets)([rows])
+        return pa.Table.from_batches(neardup.meeting(pa.Table.from_batches(blocks).sort_by("bucket").to_batches())).to_pylist()
+
+    rows = met(crowd(150, 200, 24, 5), 1)
+    assert len(rows) < 300  # of 11175 pairs
+    assert not neardup.drawn(np.arange(150), np.array([x["doc"] for x in rows]), np.array([x["pivot"] for x in rows])).any()
+    rows = met(["again " * 60 + h.words(20, i) for i in (1, 2)], 50)
+    assert len(rows) == 1 and rows[0]["shared"] >= 3
+
+
 def test_components_of_paths_stars_and_islands(spark):
     r = random.Random(9)
     ids = list(range(40))
