@@ -63,11 +63,17 @@ def kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int =
 
 def labelled(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes with the number of their occurrence in their row mixed in, and whether each is alone there."""
-    order = np.lexsort((h, row))  # stable: equal k-mers of a row stay in text order
+    with np.errstate(over="ignore"):
+        key = h + mix64(np.arange(1, row[-1] + 2 if len(row) else 1, dtype=U64))[row]  # of a k-mer in its row
+    order = np.argsort(key)
     new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    new[1:] = key[order][1:] != key[order][:-1]
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(h)))
+    again = np.repeat(times > 1, times)
+    if again.any():  # equal k-mers of a row in text order
+        same = order[again]
+        order[again] = same[np.lexsort((same, np.cumsum(new)[again]))]
     nth, alone = np.empty(len(h), U64), np.empty(len(h), bool)
     nth[order] = np.arange(len(h)) - np.repeat(at, times)
     alone[order] = np.repeat(times == 1, times)
@@ -91,6 +97,13 @@ def plain_kmers(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, width:
         return mix64(h[starts]), row[starts]
 
 
+def ordered(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """The order by high, then low, of integers; by one key if both fit one."""
+    if len(low) and int(low.max()) < 1 << bits and int(high.max()) < 1 << 64 - bits:
+        return np.argsort(high.astype(U64) << U64(bits) | low.astype(U64))
+    return np.lexsort((low, high))
+
+
 def order_minhash(marks: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """A key for each table: its WIDTH smallest k-mers, in text order."""
     n, out = len(marks), np.empty(len(factors), U64)
@@ -360,7 +373,10 @@ def rarest(common, n_buckets: int):
                 grams, alone = labelled(plain, row)
                 start = np.searchsorted(row, np.arange(len(sizes)))
                 place = np.arange(len(row)) - start[row]
-                order = np.lexsort((grams, count[cells(plain)], row))  # rows stay where they are
+                by, head = row << 8 | count[cells(plain)], grams >> U64(24)
+                order = ordered(by, head, 40)  # rows stay where they are
+                if ((np.diff(by[order]) == 0) & (np.diff(head[order]) == 0)).any():
+                    order = np.lexsort((grams, by))
                 grams, place = grams[order], np.where(alone, place, -1)[order].astype(np.int32)
                 keep = (np.arange(len(row)) - start[row] < prefix_sizes(sizes, width)[row]) & (sizes[row] >= 4)
                 # all occurrences of a run go to one bucket, so that texts which share many of them meet there only
@@ -423,7 +439,7 @@ def meeting(batches):
 
     def bucket(parts):
         gram, place, doc, class_, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((n, gram))
+        order = ordered(gram, n, 16)
         gram, place, doc, class_, n = gram[order], place[order].astype(np.int64), doc[order], class_[order], n[order].astype(np.int64)
         ids, doc = np.unique(doc, return_inverse=True)
         label = np.arange(len(ids))
