@@ -107,7 +107,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     """A 64-bit multilinear hash of each run: the sum of values[byte] * factors[place], mixed with its length.
 
     values: 256 random uint64; factors: random odd uint64, longer runs use it again from the start
-    with the value of their place added in.
+    with the value of their place added in. What a run hashes to never depends on the other runs.
     """
     if not len(starts):
         return np.zeros(0, dtype=U64)
@@ -118,8 +118,10 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     at = place + np.repeat(starts, lengths)
     with np.errstate(over="ignore"):
         terms = values[data[at]] * factors[place % len(factors)]
-        if int(lengths.max()) > len(factors):
-            terms = mix64(terms + (place // len(factors)).astype(U64))
+        longer = lengths > len(factors)
+        if longer.any():
+            again = np.repeat(longer, lengths)
+            terms[again] = mix64(terms[again] + (place[again] // len(factors)).astype(U64))
         return mix64(np.add.reduceat(terms, first) + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlspike.llm import bpe, interpolation, lines, mixing, neardup, quality, toxicity
+from marlspike.llm import bpe, common, interpolation, lines, mixing, neardup, quality, toxicity
 
 STAGES = [quality.stage, lines.stage, neardup.stage, mixing.stage]
 
@@ -98,6 +98,31 @@ def test_interpolation_equals_brute_force(spark, sf, tmp_path):
     assert interpolation.op2_deleted_interpolation(spark, h.empty(spark, tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [(255, 256, 257, 300), (5000,)])
+def test_interpolation_knows_a_word_beside_long_ones(spark, tmp_path, lengths):
+    r = random.Random(5)
+    docs = [(i, " ".join("w%d" % r.randrange(300) for _ in range(r.randint(0, 60)))) for i in range(120)]
+    docs += [(1000 + 2 * k + j, f"w1 W2 {x * k} w3") for k in lengths for j, x in enumerate("xX")]
+    h.save(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), tmp_path)
+    tok = lambda t: [*t.lower().split(), None]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    c = collections.Counter(w for i, t in docs if not held(i) for w in tok(t))
+    n, v = sum(c.values()), len(c)
+    want = {(i, held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(t)), 5)) for i, t in docs}
+    got = interpolation.op2_deleted_interpolation(spark, str(tmp_path)).collect()
+    assert {(x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 5)) for x in got} == want and len(got) == len(docs)
+
+
+def test_a_run_hashes_alike_beside_longer_ones():
+    runs = [b"a", b"word", b"x" * 255, b"x" * 256, b"x" * 257, b"y" + b"x" * 299, b"x" * 299 + b"y", b"x" * 5000]
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    ends = np.cumsum([len(x) for x in runs])
+    tables = common.word_values(lower=True)
+    together = common.run_hashes(data, ends - [len(x) for x in runs], ends, *tables)
+    assert together.tolist() == [int(common.run_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), *tables)[0]) for x in runs]
+    assert len(set(together.tolist())) == len(runs)
+
+
 def test_interpolation_in_levels(spark, sf, monkeypatch):
     def run():
         return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in interpolation.op2_deleted_interpolation(spark, sf).collect()), key=str)
