@@ -321,6 +321,13 @@ def near_classes(spark, texts):
     return [got.get(i, i) for i in range(len(texts))]
 
 
+def test_copies_are_found_beside_a_long_word(spark, tmp_path):
+    docs = [(2 * i + j, h.words(60, i), j) for i in range(12) for j in range(2)] + [(1000, "x" * 300, 0)]
+    h.save(spark.createDataFrame(docs, "doc_id long, text string, part int").repartitionByRange(2, "part").drop("part"), tmp_path)
+    c = {x.doc_id: x.class_id for x in neardup.op9_order_minhash(spark, str(tmp_path)).collect()}
+    assert len(c) == len(docs) and all(c[2 * i] == c[2 * i + 1] for i in range(12)) and len(set(c.values())) == 13
+
+
 def test_near_duplicates_that_meet_in_hot_buckets_only(spark):
     passage, texts = h.words(60, 999), []
     for i in range(60):
